@@ -3,11 +3,75 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from kinelake.llm import packing, tokens
-from kinelake.session import table
+from kinelake.functions.paths import camera_key, dataset_key
+from kinelake.llm import components, lineage, nearest, packing, tokens
+from kinelake.session import cut, table
 
 CAPACITY = 2048
+SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def _fps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo_index, fps) of every dump: its own, else the one in info, which may be text."""
+    told = F.expr("try_cast(trim(get_json_object(info, '$.fps')) as double)")
+    return table(spark, sf_dir, "repos").filter("repo_index is not null").groupBy("repo_index").agg(F.max("fps").alias("fps"), F.max(told).alias("told")).select("repo_index", F.coalesce("fps", "told").alias("fps")).filter("fps > 0")
+
+
+def p4_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Steps and images of every camera with their times in the episode and half the frame period."""
+    ep = ["repo_index", "episode_index"]
+    half = _fps(spark, sf_dir).select("repo_index", (F.lit(0.5) / F.col("fps") + 1e-9).alias("tol"))
+    cams = "map<string,struct<video_key:string,from_timestamp:string>>"
+    starts = (
+        table(spark, sf_dir, "episodes")
+        .filter("videos_json is not null and repo_index is not null and episode_index is not null")
+        .select(*ep, F.explode(F.from_json("videos_json", cams)).alias("cam", "v"))
+        .select(*ep, camera_key(F.col("cam")).alias("camera"), F.expr("try_cast(trim(v.from_timestamp) as double)").alias("begin"))
+        .groupBy(*ep, "camera")
+        .agg(F.max("begin").alias("begin"))
+    )
+    images = (
+        table(spark, sf_dir, "camera_images")
+        .select("image_id", *ep, camera_key(F.col("video_key")).alias("camera"), "packed_ts")
+        .dropna()
+        .groupBy("image_id")
+        .agg(*[F.min(c).alias(c) for c in (*ep, "camera", "packed_ts")])
+        .join(starts, [*ep, "camera"], "left")
+        .withColumn("t", F.col("packed_ts") - F.coalesce("begin", F.lit(0.0)))
+        .join(half, "repo_index")
+        .select("image_id", *ep, "camera", "t", "tol")
+    )
+    images = cut(images)
+    frames = table(spark, sf_dir, "frames").select("frame_id", *ep, F.col("step_ts").alias("t")).dropna().groupBy("frame_id").agg(*[F.min(c).alias(c) for c in (*ep, "t")])
+    steps = frames.join(images.select(*ep, "camera", "tol").distinct(), ep)
+    return steps, images
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps, images = p4_sides(spark, sf_dir)
+    return nearest.nearest(steps, images, ["repo_index", "episode_index", "camera"], "frame_id", "image_id").select("frame_id", "image_id")
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.components(lineage.keys(table(spark, sf_dir, "episodes")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir)
+
+
+def p6_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "episodes").select("record_id", dataset_key(F.col("dataset_name")).alias("dataset"))
+    return components.split(records, _groups(spark, sf_dir), SHARES, label="dataset")
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by split and their share of all."""
+    by = p6_split(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("group_id").alias("groups"))
+    return by.withColumn("share", F.round(F.col("records") / F.sum("records").over(W.partitionBy()), 6))  # one row per split
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +80,6 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = tokens.count(tokens.spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    from kinelake.session import cut
-
     return packing.pack(cut(sizes), CAPACITY)
 
 
@@ -25,5 +87,5 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, sf_dir), CAPACITY)
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_split": p6_split, "p6_shares": p6_shares, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
 SQL: dict[str, str] = {}

@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,7 +130,7 @@ def vocabulary(name: str = "byte_bpe_50k", root: str = TOKENIZERS) -> str:
 
 def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes of text, or one row."""
-    size = np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0)).astype(np.int64))
+    size = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64))
     begin = 0
     while begin < len(size):
         end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most, "right")))
@@ -139,8 +140,6 @@ def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
 
 def encode(documents: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids) of every row; other columns are left out."""
-    import pyarrow.compute  # noqa: F401
-
     path = path or vocabulary()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +157,6 @@ def encode(documents: DataFrame, path: str | None = None, text: str = "text", ke
 
 def count(documents: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_tokens) of every row."""
-    import pyarrow.compute  # noqa: F401
-
     path = path or vocabulary()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
