@@ -6,14 +6,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinelake.functions.paths import camera_key, dataset_key
-from kinelake.llm import components, lineage, nearest, packing, tokens
+from kinelake.functions.paths import camera_key, dataset_key, resolve_path
+from kinelake.llm import components, drift, lineage, mixing, nearest, packing, quantiles, tokens
 from kinelake.session import cut, table
 
 CAPACITY = 2048
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
+WANTED = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each dimension of each dataset's state and action."""
+    frames = quantiles.once(table(spark, sf_dir, "frames"), "frame_id", ["dataset_name"], ["state", "action"])
+    return quantiles.percentiles(quantiles.sketches(frames, ["dataset_name"], ["state", "action"], "weight"), WANTED)
+
+
+def p1_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same per day, from sketches that also add up to those of all days."""
+    frames = table(spark, sf_dir, "frames").withColumn("day", F.to_date("logged_at"))
+    keys = ["dataset_name", "day"]
+    return quantiles.percentiles(quantiles.sketches(quantiles.once(frames, "frame_id", keys, ["state", "action"]), keys, ["state", "action"], "weight"), WANTED)
+
+
+def p1_days_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of all days from the sketches of single days."""
+    frames = table(spark, sf_dir, "frames").withColumn("day", F.to_date("logged_at"))
+    keys = ["dataset_name", "day"]
+    days = quantiles.sketches(quantiles.once(frames, "frame_id", keys, ["state", "action"]), keys, ["state", "action"], "weight")
+    return quantiles.percentiles(quantiles.merge(days, ["dataset_name", "vector", "dim"]), WANTED)
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes with the name of their dataset, taken from the path where it is missing."""
+    named = dataset_key(F.col("dataset_name"))
+    from_path = F.nullif(F.regexp_extract(resolve_path(F.col("path")), "^/lake/datasets/([^/]+)/", 1), F.lit(""))
+    return table(spark, sf_dir, "episodes").select("record_id", F.coalesce(named, from_path).alias("dataset_name"), "n_frames")
+
+
+def p3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame ranges of episodes by shard and slot of the mix."""
+    catalog = table(spark, sf_dir, "catalog_entries").select("name", "weight", "max_repeats")
+    known = _sized(spark, sf_dir).join(catalog.select(F.col("name").alias("dataset_name")).distinct(), "dataset_name", "left_semi")
+    return mixing.mix(known, catalog, "dataset_name", "record_id", "n_frames").withColumnsRenamed({"source": "dataset_name", "record": "record_id"})
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the catalog's entries."""
+    catalog = table(spark, sf_dir, "catalog_entries").select("name", "weight", "max_repeats")
+    seen = mixing.lines(_sized(spark, sf_dir), "dataset_name", "record_id", "n_frames", 0).groupBy(F.col("source").alias("name")).agg(F.sum("size").alias("frames"))
+    return mixing.shares(p3_mix(spark, sf_dir).withColumnRenamed("dataset_name", "source"), catalog, seen)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes(table(spark, sf_dir, "schema_files")).select("file_id", "column_name", "change_kind")
+
+
+def p7_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All raw rows under the first names of their fields."""
+    return drift.table_of(table(spark, sf_dir, "schema_files"))
+
+
 def _fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo_index, fps) of every dump: its own, else the one in info, which may be text."""
     told = F.expr("try_cast(trim(get_json_object(info, '$.fps')) as double)")
@@ -87,5 +141,5 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, sf_dir), CAPACITY)
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_split": p6_split, "p6_shares": p6_shares, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_days": p1_days, "p1_days_combined": p1_days_combined, "p3_mix": p3_mix, "p3_shares": p3_shares, "p7_found": p7_found, "p7_table": p7_table, "p4_found": p4_found, "p6_found": p6_found, "p6_split": p6_split, "p6_shares": p6_shares, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
 SQL: dict[str, str] = {}
