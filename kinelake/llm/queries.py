@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinelake.functions.paths import camera_key, dataset_key, resolve_path
-from kinelake.llm import components, drift, lineage, mixing, nearest, packing, quantiles, tokens
+from kinelake.llm import components, drift, lineage, mixing, nearest, packing, quantiles, reading, tokens
 from kinelake.session import cut, table
 
 CAPACITY = 2048
@@ -141,5 +141,20 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, sf_dir), CAPACITY)
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_days": p1_days, "p1_days_combined": p1_days_combined, "p3_mix": p3_mix, "p3_shares": p3_shares, "p7_found": p7_found, "p7_table": p7_table, "p4_found": p4_found, "p6_found": p6_found, "p6_split": p6_split, "p6_shares": p6_shares, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).select("doc_id", "reading_level")
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source, language and level, with their mean probabilities."""
+    where = table(spark, sf_dir, "documents").select("doc_id", "source", F.lower(F.trim("lang")).alias("lang"))
+    by = _levels(spark, sf_dir).join(where, "doc_id").groupBy("source", "lang", "reading_level")
+    return by.agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), *[F.round(F.avg(f"p{k}"), 6).alias(f"p{k}") for k in range(1, 5)])
+
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_days": p1_days, "p1_days_combined": p1_days_combined, "p3_mix": p3_mix, "p3_shares": p3_shares, "p7_found": p7_found, "p7_table": p7_table, "p4_found": p4_found, "p6_found": p6_found, "p6_split": p6_split, "p6_shares": p6_shares, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_profile": p10_profile}
 SQL: dict[str, str] = {}
