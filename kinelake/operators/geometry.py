@@ -313,10 +313,8 @@ def _stack(s: pd.Series) -> np.ndarray:
 def _nulls(fn, *series: pd.Series) -> pd.Series:
     """``fn`` of stacked vectors where none is null."""
     ok = np.logical_and.reduce([s.notna() for s in series])
-    out = pd.Series([None] * len(ok), dtype=object)
-    if ok.any():
-        out[ok] = list(fn(*[_stack(s[ok]) for s in series]))
-    return out
+    got = iter(fn(*[_stack(s[ok]) for s in series]) if ok.any() else ())
+    return pd.Series([next(got) if x else None for x in ok], dtype=object)
 
 
 def pose_udf(kind: str, src: str, dst: str = ""):
