@@ -15,7 +15,12 @@ EPS = 1e-6
 
 def long_form(rows: DataFrame, keys: list[str], vectors: list[str]) -> DataFrame:
     """(keys, field, dim, value) of the cells of several vector columns; null vectors have none."""
-    cells = F.flatten(F.array(*[F.coalesce(F.transform(F.col(v), lambda x, i, v=v: F.struct(F.lit(v).alias("field"), i.cast("long").alias("dim"), x.cast("double").alias("value"))), F.array().cast("array<struct<field:string,dim:bigint,value:double>>")) for v in vectors]))
+    none = F.array().cast("array<struct<field:string,dim:bigint,value:double>>")
+
+    def listed(v: str) -> Column:
+        return F.coalesce(F.transform(v, lambda x, i: F.struct(F.lit(v).alias("field"), i.cast("long").alias("dim"), x.cast("double").alias("value"))), none)
+
+    cells = F.flatten(F.array(*map(listed, vectors)))
     return rows.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
 
 

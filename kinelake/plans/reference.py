@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kinelake.operators import batching, caches, geometry, joins, sampling, space, stats, temporal
 from kinelake.session import table
+from kinelake.streaming import history, wire
 from kinelake.spec import ActionSlice, EMBODIMENT_IDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -866,3 +867,21 @@ def prefix_select(spark, d):
     own = f.select("episode", "frame", F.col("value").alias("prefix"))
     chunk = temporal.gather(f, ["episode"], DELTAS, ["value"]).join(own, ["episode", "frame"])
     return chunk.select("episode", "frame", "k", r6(F.when(F.col("k") < F.col("frame") % 4, F.col("prefix")).otherwise(F.col("value"))).alias("value"))
+
+
+# streams and wire
+
+
+@query(SQL["history_timestamp"])
+def stream_history_replay(spark, d):
+    """The live history of every user's events, replayed as a stream from the table's file."""
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    obs = source.select(F.col("user_id").cast("string").alias("stream"), (F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000.0).alias("ts"), "value", F.lit("episode").alias("context"))
+    got = history.replayed(obs, 2.0, 2.0).filter("error is null")
+    return got.select(F.col("stream").cast("long").alias("episode"), r6("now").alias("now"), "k", "valid", r6("offset").alias("offset"), "value")
+
+
+@query(f"with {VECTORS} select vec_id, cast(i as bigint) as dim, round(v[i + 1], 6) as value from vectors, generate_series(0, 63) g(i)")
+def codec_roundtrip(spark, d):
+    v = vectors(spark, d).select("vec_id", wire.from_wire(wire.to_wire("v")).alias("v"))
+    return v.select("vec_id", F.posexplode("v").alias("dim", "value")).select("vec_id", F.col("dim").cast("long").alias("dim"), r6("value").alias("value"))
