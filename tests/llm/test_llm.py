@@ -1,3 +1,4 @@
+import datetime
 import json
 import math
 import random
@@ -175,10 +176,10 @@ def test_compare():
 
 
 def test_changes_and_table(spark):
-    t = pd.Timestamp("2025-03-01")
+    t = datetime.datetime(2025, 3, 1)
     rows, key = [], "observation.state"
     for i, key in enumerate(["observation.state", "state", "State", "State", "proprio"]):
-        rows.append((i, 1, info({key: ("float32", [3], None)}), json.dumps([{key: [0.1, 0.5, -0.3]}, {key: None}]), t + pd.Timedelta(hours=20 * i), "x"))
+        rows.append((i, 1, info({key: ("float32", [3], None)}), json.dumps([{key: [0.1, 0.5, -0.3]}, {key: None}]), t + datetime.timedelta(hours=20 * i), "x"))
     rows += [(10, 2, info({"a": ("int64", [1], None)}), "[]", None, "x"), (11, None, None, None, t, "x"), rows[2]]
     df = spark.createDataFrame(rows, "file_id long, repo_index long, info string, rows_json string, written_at timestamp_ntz, extra string")
     got = {(r.file_id, r.column_name, r.change_kind) for r in drift.changes(df).collect()}
@@ -212,13 +213,16 @@ def test_pack(spark):
     df = spark.createDataFrame([*sizes, sizes[0], (None, 5)], "doc_id long, n_tokens long")
     got = packing.pack(df, 100, shard_items=400).toPandas()
     want = {**dict(sizes), None: 5}
-    back = got.assign(doc_id=got.doc_id.astype("Int64")).groupby("doc_id", dropna=False)
+    back = got.assign(doc_id=got.doc_id.fillna(-1).astype(int)).groupby("doc_id")
     assert len(back) == len(want) and got.n_tokens.sum() == sum(max(0, v or 0) for v in want.values())
     for i, x in back:
-        n = want[None if pd.isna(i) else int(i)] or 0
+        n = want[None if i < 0 else i] or 0
         assert x.n_tokens.sum() == n and len(x) == max(1, -(-n // 100)) and sorted(x.piece) == list(range(len(x)))
     fill = got.groupby("container").n_tokens.sum()
-    assert fill.max() <= 100 and fill.sum() / (len(fill) * 100) > 0.98
+    # no packing needs fewer: items over half a container share none
+    pieces = got.n_tokens[got.n_tokens > 0]
+    least = max(-(-int(pieces.sum()) // 100), int((pieces > 50).sum()))
+    assert fill.max() <= 100 and len(fill) <= 1.02 * least
     for _, x in got[got.n_tokens > 0].sort_values("start").groupby("container"):
         assert list(x.start) == list(x.n_tokens.cumsum() - x.n_tokens)
     assert packing.pack(df.limit(0), 100).count() == 0
@@ -251,16 +255,17 @@ def test_features_do_not_depend_on_neighbours():
 
 
 def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/reading_labels.parquet")
     ids = sorted(r[0] for r in labels.select("doc_id").distinct().collect())
     held = set(ids[::4])
     train = labels.filter(~labels.doc_id.isin(list(held)))
-    got = {r.doc_id: r.reading_level for r in reading.reading_levels(docs, train).collect()}
+    got = {r.doc_id: r.reading_level for r in reading.reading_levels(docs, train, max_docs=700).collect()}
     told = labels.filter("reading_level is not null").distinct().toPandas().groupby("doc_id").reading_level.agg(["nunique", "count", "first"])
-    sure = told[(told["nunique"] == 1) & told.index.isin(held)]
-    assert np.mean([got[i] == v for i, v in sure["first"].items()]) > 0.88
+    # raters differ from each other in some cases; where several agree, so must the model
+    sure = told[(told["nunique"] == 1) & (told["count"] > 1) & told.index.isin(held)]
+    assert len(sure) > 80 and np.mean([got[i] == v for i, v in sure["first"].items()]) > 0.95
     assert len(set(got)) == len(got)
 
 
