@@ -285,5 +285,6 @@ def reading_levels(documents: DataFrame, labels: DataFrame, min_words: int = MIN
 
     from kinelake.llm.tokens import spread
 
-    whole = documents.select("doc_id", "text").filter("doc_id is not null and text is not null").dropDuplicates(["doc_id"])
-    return spread(whole).mapInArrow(run, schema)
+    # spread by id first: the same exchange serves to count repeated ids once
+    whole = spread(documents.select("doc_id", "text").filter("doc_id is not null and text is not null"), "doc_id").dropDuplicates(["doc_id"])
+    return whole.mapInArrow(run, schema)
