@@ -197,7 +197,7 @@ def flood(left: list[Field], right: list[Field], own: np.ndarray, rounds: int =
     return score
 
 
-def correspond(left: list[Field], right: list[Field], least: float = 0.6) -> list[tuple[Field, Field]]:
+def correspond(left: list[Field], right: list[Field], least: float = 0.57) -> list[tuple[Field, Field]]:
     """Fields of ``left`` that go on under another key in ``right``.
 
     Equal keys hold; of the rest, pairs are taken best first by flooded score if

@@ -284,6 +284,7 @@ def once(rows: DataFrame, id_: str, keys: list[str], vectors: list[str]) -> Data
     Only ids are shuffled to find repeated ones; Spark broadcasts these if they
     are few. Copies under one id carry the same vectors.
     """
+    rows = rows.select(id_, *keys, *vectors)
     again = rows.groupBy(id_).agg(F.count(F.lit(1)).alias("_n")).filter(f"_n > 1 and {id_} is not null")
     extra = rows.join(again, id_).dropDuplicates([id_]).select(*keys, *vectors, (1 - F.col("_n")).alias("weight"))
     return rows.select(*keys, *vectors, F.lit(1).cast("long").alias("weight")).unionByName(extra)
