@@ -2,10 +2,11 @@
 
 Wavelet view of each series (one dimension of one episode): the finest detail
 coefficients are the frame-to-frame differences, the details of a lifting
-scheme are what a reading departs from the line between its neighbours. Per
-source, vector and dimension a log-scaled histogram of the finest details
-gives robust scales; departures are held against them, runs of zero detail
-are readings that stand still, and bounds find what cannot be.
+scheme are what a reading departs from its prediction by the readings before
+and after it: the line between them, or, for smooth motion, both sides' lines
+carried on. Per source, vector and dimension log-scaled histograms of the
+details give robust scales; departures are held against them, runs of zero
+detail are readings that stand still, and bounds find what cannot be.
 
 Defined results: null, NaN and cut-off readings are never reported and are
 skipped by the series; a frame repeated under its id counts once; a frame
@@ -27,13 +28,17 @@ from kinelake.functions.vectors import matrix
 
 VECTORS = ("state", "action")
 ZERO_BIN = -32768
+SMOOTH = 1 << 12  # added to a dimension's number for its details that allow for motion
 
 
 @dataclass(frozen=True)
 class SpikeRule:
     """``tail``, ``broad``: a departure is beyond so many times the source's 99th
     percentile of non-zero details, or the 95th where spikes are so many that
-    they lift the 99th. ``still``: a detail within that share of the median one
+    they lift the 99th. ``smooth``, ``pace``, ``agree``: so is one beyond so many
+    times the 95th percentile of details that allow for motion and so many times
+    the median change, where both sides' predictions differ by no more than that
+    share of it. ``still``: a detail within that share of the median one
     is a trace. ``chance``: a run is stuck if ordinary still frames would make
     one as long less often than this; ``min_run`` frames at least. ``moves``: a
     dimension moves if no larger share of its details is still. ``joint``: so
@@ -44,6 +49,9 @@ class SpikeRule:
 
     tail: float = 1.9
     broad: float = 3.2
+    smooth: float = 4.2
+    pace: float = 4.4
+    agree: float = 0.6
     still: float = 0.03
     chance: float = 1e-4
     min_run: int = 8
@@ -126,32 +134,65 @@ class Series:
         series = np.tile(group, dims)[ok] + self.of * (int(group.max(initial=0)) + 1)
         self.same = series[1:] == series[:-1]
         self.detail = np.abs(np.diff(self.v))
+        self.breaks = np.concatenate([[0], np.cumsum(~self.same)])
+
+    def windows(self, width: int) -> np.ndarray:
+        """Where windows of ``width`` readings begin that have a reading of their series on both sides."""
+        a = np.arange(1, max(1, len(self.v) - width))
+        return a[self.breaks[a - 1] == self.breaks[a + width]]
+
+    def carried(self, a: np.ndarray, width: int, steepest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Least departure in each window from both sides' lines carried on, and how far these differ.
+
+        A side without a second reading, or with one further off than
+        ``steepest``, takes the other side's slope.
+        """
+        n = len(self.v)
+        before, after = self.v[a - 1], self.v[a + width]
+        far, next_ = np.maximum(a - 2, 0), np.minimum(a + width + 1, n - 1)
+        left = np.where((a >= 2) & (self.breaks[far] == self.breaks[a]), before - self.v[far], np.nan)
+        right = np.where((a + width + 1 < n) & (self.breaks[next_] == self.breaks[a]), self.v[next_] - after, np.nan)
+        middle = (after - before) / (width + 1)
+        if steepest is not None:
+            limit = steepest[self.of[a]]
+            left[np.abs(left) > limit], right[np.abs(right) > limit] = np.nan, np.nan
+            middle = np.clip(middle, -limit, limit)
+        left = np.where(np.isnan(left), np.where(np.isnan(right), middle, right), left)
+        right = np.where(np.isnan(right), left, right)
+        least, apart = np.full(len(a), np.inf), np.zeros(len(a))
+        for j in range(width):
+            one, two = before + (j + 1) * left, after - (width - j) * right
+            least = np.minimum(least, np.abs(self.v[a + j] - (one * (width - j) + two * (j + 1)) / (width + 1)))
+            apart = np.maximum(apart, np.abs(one - two))
+        return least, apart
 
     def histogram(self, core: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Dimension, bin and number of the finest details that end in a core row."""
+        """Dimension, bin and number of the finest and the motion details of core rows."""
         use = self.same & core[self.at[1:]]
-        d, of = self.detail[use], self.of[1:][use]
+        a = self.windows(1)
+        a = a[core[self.at[a]]]
+        d, of = np.concatenate([self.detail[use], self.carried(a, 1)[0]]), np.concatenate([self.of[1:][use], self.of[a] + SMOOTH])
         code = np.full(len(d), ZERO_BIN, np.int64)
         moved = d > 1e-9
         code[moved] = np.floor(np.log2(d[moved]) * bins).astype(np.int64)
         unique, n = np.unique(of * 65536 + code + 32768, return_counts=True)
         return unique // 65536, unique % 65536 - 32768, n
 
-    def departures(self, limit: np.ndarray) -> np.ndarray:
-        """Readings of departures of one to three frames beyond ``limit`` of their dimension."""
+    def departures(self, limit: np.ndarray, motion: np.ndarray, steepest: np.ndarray, agree: float) -> np.ndarray:
+        """Readings of departures of one to three frames beyond ``limit`` from the line, or ``motion`` from carried lines."""
         found = np.zeros(len(self.v), bool)
-        breaks = np.concatenate([[0], np.cumsum(~self.same)])
         for width in (1, 2, 3):
-            if len(self.v) < width + 2:
-                break
-            a = np.arange(1, len(self.v) - width)
-            a = a[breaks[a - 1] == breaks[a + width]]
+            a = self.windows(width)
+            if not len(a):
+                continue
+            least, apart = self.carried(a, width, steepest)
+            moved = (least > motion[self.of[a]]) & (apart <= agree * least)
             before, after = self.v[a - 1], self.v[a + width]
             least = np.full(len(a), np.inf)
             for j in range(width):
                 line = before + (after - before) * (j + 1) / (width + 1)
                 least = np.minimum(least, np.abs(self.v[a + j] - line))
-            a = a[(least > limit[self.of[a]]) & (least >= np.abs(after - before))]
+            a = a[moved | (least > limit[self.of[a]]) & (least >= np.abs(after - before))]
             for j in range(width):
                 found[a + j] = True
         return found
@@ -234,7 +275,7 @@ def detail_histogram(frames: DataFrame, bounds: Bounds, rule: SpikeRule) -> Data
 
 
 def scales(histogram, rule: SpikeRule) -> dict[tuple[str | None, str], dict[str, np.ndarray]]:
-    """Per source and vector: ``limit`` of departures, ``trace`` and ``need`` of stuck runs, by dimension.
+    """Per source and vector, by dimension: limits of departures, ``trace`` and ``need`` of stuck runs.
 
     ``histogram``: rows of :func:`detail_histogram`, a few hundred bins per dimension.
     """
@@ -243,10 +284,11 @@ def scales(histogram, rule: SpikeRule) -> dict[tuple[str | None, str], dict[str,
         grouped.setdefault((name, vector), {}).setdefault(dim, []).append((bin_, n))
     out = {}
     for key, dims in grouped.items():
-        width = max(dims) + 1
+        width = max(d % SMOOTH for d in dims) + 1
         limit, trace, need = np.full(width, np.inf), np.full(width, -1.0), np.full(width, 2**40)
-        for dim, rows in dims.items():
-            rows = sorted(rows)
+        motion, steepest = np.full(width, np.inf), np.full(width, np.inf)
+        for dim in range(width):
+            rows = sorted(dims.get(dim, ()))
             at = np.array([r[0] for r in rows if r[0] != ZERO_BIN], float)
             n = np.array([r[1] for r in rows if r[0] != ZERO_BIN], float)
             total, moved = sum(r[1] for r in rows), n.sum()
@@ -255,11 +297,17 @@ def scales(histogram, rule: SpikeRule) -> dict[tuple[str | None, str], dict[str,
             share = np.cumsum(n) / moved
             quantile = lambda q: 2 ** ((at[np.searchsorted(share, q)] + 0.5) / rule.bins)  # noqa: B023, E731
             limit[dim], tol = min(rule.tail * quantile(0.99), rule.broad * quantile(0.95)), rule.still * quantile(0.5)
+            smooth = sorted(dims.get(dim + SMOOTH, ()))
+            if smooth:
+                upto = np.cumsum([n for _, n in smooth])
+                edge = smooth[int(np.searchsorted(upto, 0.95 * upto[-1]))][0]
+                q95 = 0.0 if edge == ZERO_BIN else 2 ** ((edge + 0.5) / rule.bins)
+                motion[dim], steepest[dim] = max(rule.smooth * q95, rule.pace * quantile(0.5)), 1.5 * quantile(0.99)
             p = (total - moved + n[2 ** ((at + 1) / rule.bins) <= tol].sum()) / total
             if p <= rule.moves:
                 trace[dim] = tol
                 need[dim] = rule.min_run if p <= 0 else max(rule.min_run, 1 + int(np.ceil(np.log(rule.chance) / np.log(p))))
-        out[key] = {"limit": limit, "trace": trace, "need": need}
+        out[key] = {"limit": limit, "motion": motion, "steepest": steepest, "trace": trace, "need": need}
     return out
 
 
@@ -277,7 +325,7 @@ def find_spikes(frames: DataFrame, bounds: Bounds, held: dict[tuple[str | None,
     for key, dims in held.items():
         for dim in dims:
             if key in by_source and dim < len(by_source[key]["limit"]):
-                by_source[key]["limit"][dim], by_source[key]["trace"][dim] = np.inf, -1.0
+                by_source[key]["limit"][dim], by_source[key]["motion"][dim], by_source[key]["trace"][dim] = np.inf, np.inf, -1.0
 
     def flag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, t, group in _tables(batches):
@@ -292,8 +340,8 @@ def find_spikes(frames: DataFrame, bounds: Bounds, held: dict[tuple[str | None,
                 scale = by_source.get((name, vector))
                 if scale is not None and len(s.v):
                     width = values.shape[1]
-                    grow = {k: np.concatenate([x, np.full(max(0, width - len(x)), fill, x.dtype)])[:width] for (k, x), fill in zip(scale.items(), (np.inf, -1, 2**40))}
-                    for mask in (s.departures(grow["limit"]), s.stuck(grow["trace"], grow["need"])):
+                    grow = {k: np.concatenate([x, np.full(max(0, width - len(x)), {"trace": -1, "need": 2**40}.get(k, np.inf), x.dtype)])[:width] for k, x in scale.items()}
+                    for mask in (s.departures(grow["limit"], grow["motion"], grow["steepest"], rule.agree), s.stuck(grow["trace"], grow["need"])):
                         hit[s.pairs(mask)] = True
                     if (grow["need"][grow["trace"] > 0] > rule.min_run).any():
                         inside = values.copy()

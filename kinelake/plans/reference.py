@@ -586,13 +586,12 @@ def validation_budget(spark, d):
 
 
 def _ragged(spark, d):
-    f = frames(spark, d).filter("frame < 12")
-    e = f.groupBy("episode").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "value"))), lambda x: x["value"]).alias("a"))
-    return e.select("episode", (F.col("episode") % 10).alias("batch"), F.slice("a", 1, (1 + F.col("episode") % 9).cast("int")).alias("a"))
+    """Episodes of their natural lengths, ten batches of them."""
+    e = frames(spark, d).groupBy("episode").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "value"))), lambda x: x["value"]).alias("a"))
+    return e.select("episode", (F.col("episode") % 10).alias("batch"), "a")
 
 
-RAGGED = f"""{FRAMES}, e as (select episode, episode % 10 as batch, list(value order by frame) as full_a from frames where frame < 12 group by episode),
-  r as (select episode, batch, full_a[1:1 + episode % 9] as a from e), m as (select batch, max(len(a)) as size from r group by batch), x as (select episode, r.batch, a, size, i from r join m on m.batch = r.batch, lateral (select unnest(generate_series(0, size - 1)) as i) g)"""
+RAGGED = f"""{FRAMES}, r as (select episode, episode % 10 as batch, list(value order by frame) as a from frames group by episode), m as (select batch, max(len(a)) as size from r group by batch), x as (select episode, r.batch, a, size, i from r join m on m.batch = r.batch, lateral (select unnest(generate_series(0, size - 1)) as i) g)"""
 
 
 @query(f"with {RAGGED} select episode, cast(batch as bigint) as batch, cast(i as bigint) as pos, coalesce(a[i + 1], 0) as value, i < len(a) as mask from x")
@@ -613,14 +612,14 @@ def camera_union(spark, d):
     return batching.camera_union(docs, "camera", ["doc_id"]).select("camera", "position")
 
 
-CAMS = ["click", "login", "purchase", "signup", "view", "wrist"]
+CAMS = ["click", "error", "purchase", "signup", "view", "wrist"]
 
 
-@query("""with e as (select user_id as episode, event_type as camera, max(value) as value from events where event_type in ('click', 'login', 'purchase', 'signup', 'view') and event_id % 7 = 0 group by 1, 2)
-  select u.episode, c.camera, cast(c.position as bigint) as position, e.value, e.value is not null as present from (select distinct episode from e) u cross join (values ('click', 0), ('login', 1), ('purchase', 2), ('signup', 3), ('view', 4), ('wrist', 5)) c(camera, position) left join e on e.episode = u.episode and e.camera = c.camera""")
+@query("""with e as (select user_id as episode, event_type as camera, max(value) as value from events group by 1, 2 having count(*) > 8)
+  select u.episode, c.camera, cast(c.position as bigint) as position, e.value, e.value is not null as present from (select distinct episode from e) u cross join (values ('click', 0), ('error', 1), ('purchase', 2), ('signup', 3), ('view', 4), ('wrist', 5)) c(camera, position) left join e on e.episode = u.episode and e.camera = c.camera""")
 def camera_mask(spark, d):
-    e = table(spark, d, "events").filter("event_type in ('click', 'login', 'purchase', 'signup', 'view') and event_id % 7 = 0")  # the cameras an episode has
-    e = e.groupBy(F.col("user_id").alias("episode"), F.col("event_type").alias("camera")).agg(F.max("value").alias("value"))
+    """A camera is there where it has more than eight images of the episode."""
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("episode"), F.col("event_type").alias("camera")).agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n")).filter("n > 8")
     return joins.align_cameras(e, ["episode"], "camera", "value", CAMS)
 
 
@@ -653,13 +652,13 @@ def pack_offsets(spark, d):
     return _packs(spark, d).select("doc_id", "pack", "length", "offset")
 
 
-@query(f"""with {PACKS}, o as (select *, sum(length) over (partition by pack order by doc_id) - length as off from packs), k as (select * from o where doc_id % 50 <> 49), g as (select pack, off, length, coalesce(lag(off) over w + lag(length) over w, 0) as want from k window w as (partition by pack order by off)), s as (select pack, cast(sum(length) as bigint) as size from packs group by pack)
+@query(f"""with {PACKS}, o as (select *, sum(length) over (partition by pack order by doc_id) - length as off from packs), k as (select * from o where length > 1), g as (select pack, off, length, coalesce(lag(off) over w + lag(length) over w, 0) as want from k window w as (partition by pack order by off)), s as (select pack, cast(sum(length) as bigint) as size from packs group by pack)
   select g.pack, cast(count(*) filter (where off <> want) as bigint) as gaps, cast(sum(length) as bigint) as total, max(size) as size from g join s on s.pack = g.pack group by g.pack having count(*) filter (where off <> want) > 0 or sum(length) <> max(size)""")
 def pack_offsets_check(spark, d):
-    """Packs that lost the entries whose number ends in 49 or 99 (the fault to find)."""
+    """Packs that lost the entries of null and empty texts (the fault to find)."""
     whole = _packs(spark, d)
     sizes = whole.groupBy("pack").agg(F.sum("length").alias("size"))
-    return caches.pack_faults(whole.filter("doc_id % 50 <> 49"), ["pack"], sizes).select("pack", "gaps", "total", "size")
+    return caches.pack_faults(whole.filter("length > 1"), ["pack"], sizes).select("pack", "gaps", "total", "size")
 
 
 @query(f"""with {PACKS}, f as (select *, row_number() over (partition by pack order by doc_id) - 1 as frame from packs), l as (select pack, max(frame) as last from f group by pack),

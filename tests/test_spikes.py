@@ -55,3 +55,12 @@ def test_coarse_source_is_not_stuck(spark):
     r = np.random.default_rng(5)
     x = np.round(np.cumsum(r.normal(0, 0.012, 3000) - 0.0) / 0.02) * 0.02 * 0.5
     assert len(found(spark, rows(x, x))) == 0 or max(abs(x)) > 1
+
+
+def test_small_departure_from_smooth_motion(spark):
+    t = np.arange(600)
+    x = 0.4 * np.sin(t / 15) + np.random.default_rng(3).normal(0, 1e-4, 600)
+    x[200] += 0.12
+    x[300:303] -= 0.15
+    x[400:] += 0.2
+    assert found(spark, rows(x)) == {(i, "state", 0) for i in (200, 300, 301, 302)}
