@@ -42,6 +42,7 @@ _DROP = re.compile("[​-‏⁠﻿­�\x00-\x08\x0e-\x1f\x7f]")
 _BULLET = re.compile(r"^\s*(?:[-*•–·>]|\d{1,3}[.)])\s+")
 _HEAD = re.compile(r"^\s*(?:#{1,6}\s|={2,}|-{3,}|\*{3,}|_{3,})")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"\w=\S|[{}\\|\t]|::|\(\)|;$|/\w+/\w+|0x[0-9a-f]|_\w+_|^\s*[\[(<]\d")
 _END = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+")
 _BROKEN = re.compile("[ÃÂâ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
@@ -62,9 +63,9 @@ def is_prose(line: str) -> bool:
     """Whether a line is running text rather than a log, table, code, path or heading."""
     if _HEAD.match(line) or _CODE.search(line):
         return False
-    dense = sum(not c.isspace() for c in line)
-    letters = sum(c.isalpha() for c in line)
-    return letters >= 0.7 * dense and len(_CJK.findall(line)) * 2 < max(1, letters)
+    dense = sum(map(len, line.split()))
+    letters = sum(map(len, _LETTERS.findall(line)))
+    return letters >= 0.7 * dense and (line.isascii() or len(_CJK.findall(line)) * 2 < max(1, letters))
 
 
 def sentences(text: str | None, longest: int = 40, piece: int = 20) -> list[str]:
