@@ -151,3 +151,36 @@ def read_shards(spark, path: str, contract: dict | None = None) -> DataFrame:
     if df.count() != manifest["rows"]:
         raise ValueError(f"{path} holds another number of rows")
     return df
+
+
+def source_tag(path: Column, modified_ms: Column, size: Column, *more: Column) -> Column:
+    """What a cache entry depends on, as one digest: another file, time, size or option is another tag."""
+    return F.sha2(F.concat_ws("|", path, *[F.coalesce(c.cast("string"), F.lit("-")) for c in (modified_ms, size, *more)]), 256)
+
+
+def file_digests(spark, path: str) -> DataFrame:
+    """(file, bytes, sha256) of every data file below a folder, hashed where it is read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return raw.select(F.regexp_replace("path", "^.*?" + path.rstrip("/") + "/", "").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def seal(spark, path: str) -> int:
+    """Write the digests of a finished cache beside its rows; returns the number of files."""
+    found = file_digests(spark, os.path.join(path, "rows"))
+    found.write.mode("overwrite").parquet(os.path.join(path, "digests"))
+    return spark.read.parquet(os.path.join(path, "digests")).count()
+
+
+def seal_faults(spark, path: str) -> DataFrame:
+    """Files of a sealed cache that are gone, new or changed."""
+    told = spark.read.parquet(os.path.join(path, "digests")).withColumnRenamed("sha256", "told").drop("bytes")
+    now = file_digests(spark, os.path.join(path, "rows"))
+    return told.join(now, "file", "full").filter(~F.col("told").eqNullSafe(F.col("sha256")))
+
+
+def require_all(planned: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
+    """The plan, if a cache holds all of it; else it raises with an example of what is missing."""
+    missing = pending(planned.select(*on), done, on).limit(1).collect()
+    if missing:
+        raise ValueError(f"not in the cache: {missing[0].asDict()}")
+    return planned

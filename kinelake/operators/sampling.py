@@ -203,3 +203,24 @@ def shares(sizes: DataFrame, source: str, weight: str, n: str) -> DataFrame:
     """Expected share of draws of each source: weight times size over their sum."""
     x = F.col(weight) * F.col(n)
     return sizes.withColumn("share", x / F.sum(x).over(W.partitionBy()))  # a row per source
+
+
+def save_cursor(path: str, seed: int, epoch: int, batch: int, signature: str) -> None:
+    """Where a run stands in its order of samples, written whole or not at all."""
+    import json
+    import os
+
+    with open(f"{path}.tmp", "w") as file:
+        json.dump({"seed": seed, "epoch": epoch, "batch": batch, "signature": signature}, file)
+    os.replace(f"{path}.tmp", path)
+
+
+def load_cursor(path: str, signature: str) -> tuple[int, int, int]:
+    """(seed, epoch, next batch) of a run over the same data; other data raise."""
+    import json
+
+    with open(path) as file:
+        told = json.load(file)
+    if told["signature"] != signature:
+        raise ValueError("the cursor belongs to other data")
+    return told["seed"], told["epoch"], told["batch"]

@@ -370,3 +370,57 @@ def test_json_contract():
 
 def test_one_arm():
     assert [s.name for s in one_arm()] == ["arm", "gripper"]
+
+
+def test_images():
+    from kinelake.functions import images
+
+    r = np.random.default_rng(0)
+    image = r.integers(0, 255, (100, 50, 3), dtype=np.uint8)
+    out = images.letterbox(image, 20)
+    assert out.shape == (20, 20, 3) and (out[:, :5] == 0).all() and (out[:, 15:] == 0).all() and out[:, 5:15].any()
+    assert np.array_equal(images.resize(image, 100, 50), image)
+    assert images.imagenet(image).shape == (3, 100, 50)
+    x = np.float32([0, -0.0, 1.5, -3.25, 1e30, np.inf, np.nan, 1.00390625])
+    back = images.bf16_float(images.float_bf16(x))
+    assert np.allclose(back[:6], x[:6], rtol=2**-8) and np.isnan(back[6]) and back[2] == 1.5
+
+
+def test_image_columns(spark):
+    from kinelake.functions import images
+
+    raw = np.arange(12, dtype=np.uint8).reshape(2, 2, 3).tobytes()
+    df = spark.createDataFrame([(raw, 2, 2), (None, None, None)], "p binary, h int, w int")
+    got = [bytes(r[0]) for r in df.select(images.letterbox_column("p", "h", "w", 2)).collect()]
+    assert got == [raw, bytes(12)]
+    bits = spark.createDataFrame([([0x3F80, 0xC000],), (None,)], "b array<int>")
+    assert [r[0] for r in bits.select(images.bf16_column("b")).collect()] == [[1.0, -2.0], None]
+
+
+def test_seal_and_cursor(spark, tmp_path):
+    rows = spark.range(100).select(F.col("id").alias("row_id"))
+    path = str(tmp_path / "c")
+    caches.write_shards(rows, path, {}, shard_rows=40)
+    assert caches.seal(spark, path) >= 3 and caches.seal_faults(spark, path).count() == 0
+    name = next(f for _, _, fs in __import__("os").walk(f"{path}/rows") for f in fs if f.endswith(".parquet"))
+    target = next(str(p) for p in (tmp_path / "c" / "rows").rglob(name))
+    with open(target, "ab") as f:
+        f.write(b"x")
+    for crc in (tmp_path / "c" / "rows").rglob(".*.crc"):  # the local file system's own checksums
+        crc.unlink()
+    assert caches.seal_faults(spark, path).count() == 1
+    with pytest.raises(ValueError):
+        caches.require_all(rows, rows.filter("row_id < 50"), ["row_id"])
+    tag = rows.select(caches.source_tag(F.lit("a"), F.lit(1), F.lit(2)), caches.source_tag(F.lit("a"), F.lit(1), F.lit(3))).first()
+    assert tag[0] != tag[1]
+    sampling.save_cursor(str(tmp_path / "k"), 1, 2, 3, "s")
+    assert sampling.load_cursor(str(tmp_path / "k"), "s") == (1, 2, 3)
+    with pytest.raises(ValueError):
+        sampling.load_cursor(str(tmp_path / "k"), "other")
+
+
+def test_command_line(spark, capsys):
+    from kinelake.__main__ import main
+
+    main(["--root", "/nowhere", "--dataset", "abc", "scan"])
+    assert '"missing": "/nowhere/abc"' in capsys.readouterr().out
