@@ -82,7 +82,7 @@ class Dataset:
         """(field, dim, mean, std, min, max, q01, q99, count) of states and of actions in the training space."""
         flat = replace(self, norm=None).with_config(history_length=0.0).windows().select(F.explode("action").alias("action"))
         cells = stats.long_form(flat, [], ["action"]).unionByName(stats.long_form(self.frames, [], ["state"]))
-        return stats.moments(cells, ["field", "dim"]).join(stats.quantiles(cells, ["field", "dim"], {"q01": 0.01, "q99": 0.99}), ["field", "dim"])
+        return stats.moments(cells, ["field", "dim"]).join(stats.quantiles_bounded(cells, ["field", "dim"], {"q01": 0.01, "q99": 0.99}), ["field", "dim"])
 
     def normalized(self, norm: DataFrame | None = None) -> Dataset:
         return replace(self, norm=self.statistics() if norm is None else norm)

@@ -7,23 +7,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof(ticks: DataFrame, values: DataFrame, keys: list[str], tick: str, ts: str, value: list[str], strict: bool = False, clip: bool = True) -> DataFrame:
+def asof(ticks: DataFrame, values: DataFrame, keys: list[str], tick: str, ts: str, value: list[str], strict: bool = False, clip: bool = True, block: float | None = None) -> DataFrame:
     """Each tick with the last values at or before it (before it, if ``strict``).
 
     Both sides are united and swept in order of time: one shuffle, no pairs. A
     tick before the first value takes the first one if ``clip``, else nulls. Of
-    values at one time the last in order of the value columns counts.
+    values at one time the last in order of the value columns counts. With
+    ``block``, a length of time, each key is swept block by block, and a block
+    takes over the last values before it from a table of one row per block: no
+    key is one task.
     """
     seen = F.struct(F.col(ts).alias("_ts"), *value)
     kind = values.select(seen.alias("s")).schema["s"].dataType
     carried = [c for c in ticks.columns if c not in keys]
     left = ticks.select(*keys, F.struct(*carried).alias("_tick"), F.col(tick).alias("_at"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(kind).alias("_seen"))
     right = values.select(*keys, F.lit(None).cast(left.schema["_tick"].dataType).alias("_tick"), F.col(ts).alias("_at"), F.lit(1 if strict else 0).alias("_side"), seen.alias("_seen"))
-    order = W.partitionBy(*keys).orderBy("_at", "_side", "_seen")
-    swept = left.unionByName(right).withColumn("_last", F.last("_seen", True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    if clip:
-        swept = swept.withColumn("_next", F.first("_seen", True).over(order.rowsBetween(0, W.unboundedFollowing)))
-        swept = swept.withColumn("_last", F.coalesce("_last", "_next"))
+    part = F.lit(0).cast("long") if block is None else F.floor(F.col("_at") / F.lit(block))
+    rows = left.unionByName(right).withColumn("_part", part)
+    order = W.partitionBy(*keys, "_part").orderBy("_at", "_side", "_seen")
+    swept = rows.withColumn("_last", F.last("_seen", True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    if clip or block is not None:
+        ends = rows.groupBy(*keys, "_part").agg(F.max("_seen").alias("_z"), F.min("_seen").alias("_a"))
+        blocks = W.partitionBy(*keys).orderBy("_part")
+        ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.last("_z", True).over(blocks.rowsBetween(W.unboundedPreceding, -1)).alias("_carry"), F.min("_a").over(W.partitionBy(*keys)).alias("_first"))
+        same = F.col("_part") == F.col("_p")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        swept = swept.filter("_tick is not null").join(ends, same, "left").withColumn("_last", F.coalesce("_last", "_carry", *(["_first"] if clip else [])))
     return swept.filter("_tick is not null").select(*keys, *[F.col(f"_tick.{c}").alias(c) for c in carried], *[F.col(f"_last.{v}").alias(v) for v in value])
 
 

@@ -38,16 +38,18 @@ def quantiles(cells: DataFrame, by: list[str], qs: dict[str, float], value: str
 
 
 def quantiles_bounded(cells: DataFrame, by: list[str], qs: dict[str, float], value: str = "value", bits: int = 16) -> DataFrame:
-    """The same with bounded memory: a counting pass finds the cells of the ranks wanted.
+    """The same with bounded memory, for groups of any size.
 
-    It counts values by 2**bits equal cells of a group's range; then only the
-    values of cells that hold a wanted rank are sorted. Extreme outliers crowd
-    a group into few cells, whose values the sort spills to disk.
+    A counting pass finds the cells of the ranks wanted, then only the values of
+    these cells are sorted. Cells are even on a scale that is linear up to about
+    the median size and logarithmic beyond, so that extreme outliers do not
+    crowd the rest into few cells.
     """
     x = cells.select(*by, F.col(value).cast("double").alias("_v")).filter("_v is not null")
-    lo = x.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_n"))
-    cell = F.least(F.floor((F.col("_v") - F.col("_lo")) / F.greatest((F.col("_hi") - F.col("_lo")) / (1 << bits), F.lit(1e-300))), F.lit((1 << bits) - 1))
-    placed = x.join(lo, by).withColumn("_b", F.coalesce(cell, F.lit(0)))
+    half = x.groupBy(*by).agg((F.percentile_approx(F.abs("_v"), 0.5, 100) + F.lit(1e-300)).alias("_s"), F.count("_v").alias("_n"))
+    scaled = F.signum("_v") * F.log1p(F.abs("_v") / F.col("_s") * 16)
+    cell = F.floor(scaled * ((1 << bits) / 2048)).cast("long")
+    placed = x.join(half, by).withColumn("_b", cell) if by else x.join(half, F.lit(True)).withColumn("_b", cell)
     counts = placed.groupBy(*by, "_b").agg(F.count("_v").alias("_c"), F.max("_n").alias("_n"))
     upto = W.partitionBy(*by).orderBy("_b")
     ranks = [F.floor(F.lit(q) * (F.col("_n") - 1)) + d for q in qs.values() for d in (0, 1)]
@@ -173,13 +175,14 @@ def merge_parity(parts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, by: list[str], text: Column) -> DataFrame:
-    """SHA-256 of the sorted row digests of a group: the order of rows does not matter, nor does its size.
+    """A digest of a group's rows that does not depend on their order: sums of the parts of the rows' SHA-256, hashed.
 
-    Digests are folded in 256 parts first, so no group's texts meet in one row.
+    Sums are partial aggregates, so a group may have any size; repeated rows
+    count as often as they come.
     """
     d = rows.select(*by, F.sha2(text, 256).alias("_d"))
-    part = d.groupBy(*by, F.substring("_d", 1, 2).alias("_p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_d")), ""), 256).alias("_h"))
-    return part.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("_p", "_h"))), ""), 256).alias("fingerprint"))
+    parts = [F.sum(F.conv(F.substring("_d", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(8)]
+    return d.groupBy(*by).agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *parts), 256).alias("fingerprint"))
 
 
 def save_stats(stats: DataFrame, path: str, by: list[str] | None = None) -> None:

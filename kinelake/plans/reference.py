@@ -278,7 +278,7 @@ def _resample(spark, d, strict):
     f = frames(spark, d)
     ticks = temporal.grid(joins.overlap(f, ["episode"], "event_type", "us"), TICK).select("episode", "tick")
     topics = f.select("episode", "event_type").distinct()
-    return joins.asof(ticks.join(topics, "episode"), f, ["episode", "event_type"], "tick", "us", ["value"], strict).select("episode", "tick", "event_type", "value")
+    return joins.asof(ticks.join(topics, "episode"), f, ["episode", "event_type"], "tick", "us", ["value"], strict, block=7 * TICK).select("episode", "tick", "event_type", "value")
 
 
 @query(_resample_sql(">="))
@@ -333,7 +333,7 @@ STAT_SQL = "round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, mi
 
 
 def _stat(df, by):
-    both = stats.moments(df, by).join(stats.quantiles(df, by, {"q01": 0.01, "q99": 0.99}), by)
+    both = stats.moments(df, by).join(stats.quantiles_bounded(df, by, {"q01": 0.01, "q99": 0.99}), by)
     return both.select(*by, r6("mean").alias("mean"), r6("std").alias("std"), "min", "max", r6("q01").alias("q01"), r6("q99").alias("q99"), "count")
 
 
@@ -586,24 +586,27 @@ def validation_budget(spark, d):
 
 
 def _ragged(spark, d):
-    """Episodes of their natural lengths, ten batches of them."""
-    e = frames(spark, d).groupBy("episode").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "value"))), lambda x: x["value"]).alias("a"))
-    return e.select("episode", (F.col("episode") % 10).alias("batch"), "a")
+    """Chunks of up to twelve steps that end with their episode, one batch per episode."""
+    got = temporal.gather_join(frames(spark, d), ["episode"], list(range(12)), ["value"]).filter("src = frame + k")
+    e = got.groupBy("episode", "frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("a"))
+    return e.withColumn("batch", F.col("episode"))
 
 
-RAGGED = f"""{FRAMES}, r as (select episode, episode % 10 as batch, list(value order by frame) as a from frames group by episode), m as (select batch, max(len(a)) as size from r group by batch), x as (select episode, r.batch, a, size, i from r join m on m.batch = r.batch, lateral (select unnest(generate_series(0, size - 1)) as i) g)"""
+RAGGED = f"""{FRAMES}, x as (select episode, frame, episode as batch, least(12, n) as size, least(12, n - frame) as len, i from frames, lateral (select unnest(generate_series(0, least(12, n) - 1)) as i) g)"""
 
 
-@query(f"with {RAGGED} select episode, cast(batch as bigint) as batch, cast(i as bigint) as pos, coalesce(a[i + 1], 0) as value, i < len(a) as mask from x")
+def _padded(df):
+    return df.select("episode", "frame", "batch", F.posexplode(F.arrays_zip("a", "a_mask")).alias("pos", "x")).select("episode", "frame", "batch", F.col("pos").cast("long").alias("pos"), F.col("x.a").alias("value"), F.col("x.a_mask").alias("mask"))
+
+
+@query(f"with {RAGGED} select x.episode, x.frame, x.batch, cast(i as bigint) as pos, coalesce(f.value, 0) as value, i < len as mask from x left join frames f on f.episode = x.episode and f.frame = x.frame + i and i < len")
 def pad_actions(spark, d):
-    p = batching.pad_batches(_ragged(spark, d), "batch", ["a"])
-    return p.select("episode", "batch", F.posexplode(F.arrays_zip("a", "a_mask")).alias("pos", "x")).select("episode", "batch", F.col("pos").cast("long").alias("pos"), F.col("x.a").alias("value"), F.col("x.a_mask").alias("mask"))
+    return _padded(batching.pad_batches(_ragged(spark, d), "batch", ["a"]))
 
 
-@query(f"with {RAGGED} select episode, cast(batch as bigint) as batch, cast(i as bigint) as pos, coalesce(case when i >= size - len(a) then a[i - (size - len(a)) + 1] end, 0) as value, i >= size - len(a) as mask from x")
+@query(f"with {RAGGED} select x.episode, x.frame, x.batch, cast(i as bigint) as pos, coalesce(f.value, 0) as value, i >= size - len as mask from x left join frames f on f.episode = x.episode and f.frame = x.frame + i - (size - len) and i >= size - len")
 def pad_history_right(spark, d):
-    p = batching.pad_batches(_ragged(spark, d), "batch", [], ["a"])
-    return p.select("episode", "batch", F.posexplode(F.arrays_zip("a", "a_mask")).alias("pos", "x")).select("episode", "batch", F.col("pos").cast("long").alias("pos"), F.col("x.a").alias("value"), F.col("x.a_mask").alias("mask"))
+    return _padded(batching.pad_batches(_ragged(spark, d), "batch", [], ["a"]))
 
 
 @query("""with c as (select coalesce(source, 'none') as camera, min(doc_id) as f from documents group by 1) select camera, cast(row_number() over (order by f, camera) - 1 as bigint) as position from c""")
@@ -719,7 +722,8 @@ def masked_mse_by_source(spark, d):
     return got.select(F.coalesce("l_returnflag", F.lit("all")).alias("source"), F.round("error", 2).alias("error"), "count", r6("mse").alias("mse"))
 
 
-@query("""with x as (select user_id as episode, sha256(concat_ws('|', event_id, event_type)) as d from events), p as (select episode, substr(d, 1, 2) as p, sha256(string_agg(d, '' order by d)) as h from x group by 1, 2) select episode, sha256(string_agg(p || h, '' order by p || h)) as fingerprint from p group by episode""")
+@query("""with x as (select user_id as episode, sha256(concat_ws('|', event_id, event_type)) as d from events)
+  select episode, sha256(cast(count(*) as varchar) || ':' || cast(sum(cast('0x' || substr(d, 1, 8) as bigint)) as varchar) || ':' || cast(sum(cast('0x' || substr(d, 9, 8) as bigint)) as varchar) || ':' || cast(sum(cast('0x' || substr(d, 17, 8) as bigint)) as varchar) || ':' || cast(sum(cast('0x' || substr(d, 25, 8) as bigint)) as varchar) || ':' || cast(sum(cast('0x' || substr(d, 33, 8) as bigint)) as varchar) || ':' || cast(sum(cast('0x' || substr(d, 41, 8) as bigint)) as varchar) || ':' || cast(sum(cast('0x' || substr(d, 49, 8) as bigint)) as varchar) || ':' || cast(sum(cast('0x' || substr(d, 57, 8) as bigint)) as varchar)) as fingerprint from x group by episode""")
 def fingerprint(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("episode"), "event_id", "event_type")
     return stats.fingerprint(e, ["episode"], F.concat_ws("|", F.col("event_id").cast("string"), "event_type"))
@@ -797,10 +801,12 @@ def members_anti(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-@query(f"with {FRAMES} select episode, max_by(value, frame) as value from frames group by episode")
+@query(f"with {FRAMES} select episode, frame, value from frames")
 def current_state(spark, d):
-    e = frames(spark, d).groupBy("episode").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "value"))), lambda x: x["value"]).alias("h"))
-    return e.select("episode", space.last_step(F.col("h")).alias("value"))
+    """The last step of each frame's history of four states."""
+    past = temporal.gather_join(frames(spark, d), ["episode"], [-3, -2, -1, 0], ["value"])
+    h = past.groupBy("episode", "frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("h"))  # four each
+    return h.select("episode", "frame", space.last_step(F.col("h")).alias("value"))
 
 
 @query(f"""with {VECTORS} select vec_id, cast(i as bigint) as dim, round(case when {_uniform_sql("'9'", "vec_id")} < 0.3 then 0 else v[i + 1] end, 6) as value from vectors, generate_series(0, 63) g(i)""")

@@ -111,6 +111,10 @@ def test_asof_variants(spark):
     assert got() == [("a", 5, 1.0), ("a", 10, 1.0), ("a", 20, 2.0), ("a", 25, 2.0), ("c", 1, None)]
     assert got(strict=True) == [("a", 5, 1.0), ("a", 10, 1.0), ("a", 20, 1.0), ("a", 25, 2.0), ("c", 1, None)]
     assert got(clip=False)[0] == ("a", 5, None)
+    for block in (1, 7, 1000):
+        for strict in (False, True):
+            for clip in (False, True):
+                assert got(strict=strict, clip=clip, block=block) == got(strict=strict, clip=clip)
 
 
 def test_lookups_raise(spark):
