@@ -44,7 +44,10 @@ def resolve_path(path: Column, dataset: Column | None = None, root: str = ROOT)
     slashed = F.regexp_replace(F.replace(plain, F.lit("\\"), F.lit("/")), r"^/?[A-Za-z]:/", "/")
     base = F.lit(None).cast("string") if dataset is None else F.concat(F.lit(root + "/"), dataset_key(dataset), F.lit("/"))
     absolute = F.when(slashed == "", None).when(slashed.startswith("/"), slashed).otherwise(F.concat(base, slashed))
-    return F.concat(F.lit("/"), F.array_join(_dots(F.split(absolute, "/")), "/"))
+    # most paths have no "..": two passes of a regular expression do for them
+    short = F.regexp_replace(F.regexp_replace(absolute, "/(\\.?/)+", "/"), "(?<=.)/\\.?$", "")
+    whole = F.concat(F.lit("/"), F.array_join(_dots(F.split(short, "/")), "/"))
+    return F.when(short.rlike("/\\.\\.?(/|$)"), whole).otherwise(short)
 
 
 def camera_key(video_key: Column) -> Column:

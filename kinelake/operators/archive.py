@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinelake.functions.paths import camera_key, resolve_path
+from kinelake.session import cut
 
 INDEX = "container string, path string, offset long, length long, checksum string"
 
@@ -152,7 +153,7 @@ def shared_frames(index: DataFrame) -> DataFrame:
     stream of any size; only pairs that share a frame come out, each at the one
     node that has the later of both first frames.
     """
-    entries = index.filter("lo is not null and hi >= lo").select(*STREAM, "file_id", "lo", "hi").withColumn("level", F.ceil(F.log2(F.col("hi") - F.col("lo") + 1)).cast("int"))
+    entries = cut(index.filter("lo is not null and hi >= lo").select(*STREAM, "file_id", "lo", "hi").withColumn("level", F.ceil(F.log2(F.col("hi") - F.col("lo") + 1)).cast("int")))
     levels = sorted(r[0] for r in entries.select("level").distinct().collect())  # at most 63 numbers
 
     def node(frame, level):
