@@ -181,7 +181,7 @@ def layout(index: DataFrame, target: int = 64 << 20, lanes: int | None = None) -
     A stream is swept in blocks of 2^16 frames, each with what the blocks before
     it hold, so that no stream is one task.
     """
-    span = index.filter("lo is not null and hi >= lo").withColumn("_block", F.shiftright("lo", 16))
+    span = cut(index.filter("lo is not null and hi >= lo").withColumn("_block", F.shiftright("lo", 16)))
     earlier = W.partitionBy(*STREAM).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carry = span.groupBy(*STREAM, "_block").agg(F.max("hi").alias("_hi")).withColumn("_carry", F.max("_hi").over(earlier)).drop("_hi")
     before = W.partitionBy(*STREAM, "_block").orderBy("lo", F.desc("hi"), "file_id").rowsBetween(W.unboundedPreceding, -1)
@@ -192,5 +192,5 @@ def layout(index: DataFrame, target: int = 64 << 20, lanes: int | None = None) -
         .filter("frame_from <= hi")
         .withColumn("length", F.floor(F.coalesce("n_bytes", F.lit(0)) * (F.col("hi") - F.col("frame_from") + 1) / (F.col("hi") - F.col("lo") + 1)))
     )
-    placed = container_of(kept, "length", target, [*STREAM, "frame_from", "file_id"], lanes)
+    placed = container_of(cut(kept), "length", target, [*STREAM, "frame_from", "file_id"], lanes)
     return placed.select("container", *STREAM, "frame_from", F.col("hi").alias("frame_to"), "file_id", "offset", "length", F.col("digest").alias("checksum"))

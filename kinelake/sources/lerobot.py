@@ -214,3 +214,11 @@ def numeric_columns(df: DataFrame) -> list[str]:
     """Columns a trajectory cache keeps: numbers and lists of numbers, no images."""
     number = r"(tinyint|smallint|int|bigint|float|double|boolean)"
     return [c for c, k in df.dtypes if re.fullmatch(rf"{number}|array<{number}>", k)]
+
+
+def require_counts(payloads: DataFrame, keys: list[str], records: DataFrame, n: str = "n_frames") -> DataFrame:
+    """(keys, frames) of image streams; one that is not as long as its record tells raises."""
+    got = payloads.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"))
+    met = got.join(records.select(*keys, F.col(n).alias("_n")), keys, "left")
+    wrong = F.raise_error(F.concat(F.lit("stream of "), F.col("frames").cast("string"), F.lit(" frames, told "), F.coalesce(F.col("_n").cast("string"), F.lit("none")))).cast("long")
+    return met.withColumn("frames", F.when(F.col("frames").eqNullSafe(F.col("_n")), F.col("frames")).otherwise(wrong)).drop("_n")

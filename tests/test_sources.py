@@ -184,3 +184,18 @@ def test_api(spark, tmp_path):
 def test_synthetic(spark):
     a = formats.synthetic(spark, 3, 5, 4, 2)
     assert a.count() == 15 and a.exceptAll(formats.synthetic(spark, 3, 5, 4, 2)).count() == 0
+
+
+def test_image_streams(spark):
+    rows = spark.createDataFrame([(1, b"a"), (1, b"b")], "e long, image binary")
+    assert lerobot.is_image("binary") and lerobot.is_image("struct<bytes:binary,path:string>") and not lerobot.is_image("array<float>")
+    assert lerobot.numeric_columns(rows.withColumn("v", F.array(F.lit(1.0)))) == ["e", "v"]
+    assert lerobot.require_counts(rows, ["e"], spark.createDataFrame([(1, 2)], "e long, n_frames long")).first().frames == 2
+    with pytest.raises(PySparkException):
+        lerobot.require_counts(rows, ["e"], spark.createDataFrame([(1, 3)], "e long, n_frames long")).collect()
+    boxed = rows.select(F.struct(F.col("image").alias("bytes"), F.lit("p").alias("path")).alias("image"))
+    assert bytes(boxed.select(lerobot.image_bytes("image", dict(boxed.dtypes)["image"])).first()[0]) == b"a"
+    got = spark.range(2).select(lerobot.video_frames(F.lit(0.1), F.lit(25.0), F.col("id")).alias("f")).collect()
+    assert [r.f for r in got] == [2, 3]  # 2.5 is rounded to even
+    info = spark.createDataFrame([('{"features": {"observation.images.top": {"dtype": "video"}, "low": {"dtype": "image"}}}',)], "i string")
+    assert info.select(lerobot.feature_type(F.col("i"), "top"), lerobot.feature_type(F.col("i"), "low"), lerobot.feature_type(F.col("i"), "no")).first()[:] == ("video", "image", None)
