@@ -4,8 +4,8 @@ Texts are stripped of markup, logs, tables and code; what is left is split into
 sentences. A multinomial logistic model with an L2 penalty over hashed character
 n-grams, words and word pairs gives each sentence a distribution over the
 levels; the sentences' distributions, weighted by their words, make the
-document's, which a small calibration, fitted on documents the sentence model
-had not seen, turns into its level. Sentences of labelled documents start with
+document's; a temperature, fitted on documents the sentence model had not seen,
+calibrates it, and the largest share is the level. Sentences of labelled documents start with
 the document's label and are told anew once by the model, as documents mix
 levels.
 
@@ -211,12 +211,11 @@ class Model:
 
 
 def _calibrate(share: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """A small logistic layer that starts from the largest share and is pulled back to it."""
-    start = np.vstack([np.eye(k) * 8, np.zeros((1, k))])
-    c, x, t = start.copy(), np.hstack([share, np.ones((len(share), 1))]), np.eye(k)[y]
-    for _ in range(300):
-        c -= 0.5 * (x.T @ (_softmax(x @ c) - t) / max(len(y), 1) + 0.01 * (c - start))
-    return c
+    """How sharply shares tell the level: the temperature that fits held-out labels best; the largest share stays first."""
+    x = np.hstack([share, np.ones((len(share), 1))])
+    scaled = [np.vstack([np.eye(k) * t, np.zeros((1, k))]) for t in np.geomspace(1, 64, 49)]
+    loss = [-np.log(_softmax(x @ c)[np.arange(len(y)), y] + 1e-12).sum() for c in scaled]
+    return scaled[int(np.argmin(loss))]
 
 
 def _train(docs: list[list[str]], y: np.ndarray, k: int, rounds: int, most: int) -> tuple[np.ndarray, np.ndarray]:
