@@ -277,7 +277,7 @@ def changes(files: DataFrame) -> DataFrame:
 
     pairs = with_previous(files).filter("prev is not null")
     pairs = pairs.select("file_id", "repo_index", "at", "info", "rows_json", F.col("prev.info").alias("info_a"), F.col("prev.rows_json").alias("rows_a"))
-    return pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 3, "file_id").mapInPandas(run, CHANGES)
+    return pairs.repartition("file_id").mapInPandas(run, CHANGES)
 
 
 def field_names(files: DataFrame, found: DataFrame) -> DataFrame:

@@ -172,5 +172,5 @@ def count(documents: DataFrame, path: str | None = None, text: str = "text", key
 
 
 def spread(df: DataFrame, *key: Column | str) -> DataFrame:
-    """Spread rows over all cores before costly work: a scan of few large row groups has few tasks."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 3, *key)
+    """Spread rows before costly work: over all cores, or in as many parts as the scan has if these are more."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism * 3, df.rdd.getNumPartitions()), *key)
