@@ -45,4 +45,21 @@ def p5_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_layout": p5_layout}
-SQL: dict[str, str] = {}
+
+def resolved_sql(path: str, dataset: str) -> str:
+    """SQL of the place a path leads to; parent folders are taken back up to four times."""
+    text = f"trim({path}, ' ' || chr(9) || chr(10) || chr(13))"
+    plain = f"case when lower(substr({text}, 1, 5)) = 'file:' then url_decode(regexp_replace(substr({text}, 6), '^//[^/]*', '')) else {text} end"
+    slashed = f"replace({plain}, chr(92), '/')"
+    base = f"'/lake/datasets/' || regexp_extract(regexp_replace(trim({dataset}), '[/]+$', ''), '([^/]*)$', 1) || '/'"
+    out = f"regexp_replace(regexp_replace(case when {slashed} like '/%' then {slashed} else {base} || {slashed} end, '/([.]?/)+', '/', 'g'), '(.)/[.]?$', '\\1')"
+    for _ in range(4):
+        out = f"regexp_replace({out}, '/[^/]+/[.][.](/|$)', '\\1')"
+    return out
+
+
+SQL: dict[str, str] = {
+    "p5_found": f"""with f as (select file_id, {resolved_sql("min(path)", "min(dataset_name)")} as p, min(trajectory_id) as t, regexp_replace(trim(min(video_key)), '^(observation[.]images[.]|images?[.])', '') as c, min(first_frame) as lo, min(first_frame) + min(num_frames) - 1 as hi
+      from cache_files group by file_id having min(num_frames) > 0)
+    select a.file_id as file_id_a, b.file_id as file_id_b from f a join f b on a.p = b.p and a.t = b.t and a.c = b.c and a.file_id < b.file_id and a.lo <= b.hi and b.lo <= a.hi""",
+}
