@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinelake.functions.paths import camera_key, dataset_key, resolve_path
 from kinelake.llm import components, drift, lineage, mixing, nearest, packing, quantiles, reading, tokens
+from kinelake.plans.general import resolved_sql
 from kinelake.session import cut, table
 
 CAPACITY = 2048
@@ -157,4 +158,24 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_percentiles": p1_percentiles, "p1_days": p1_days, "p1_days_combined": p1_days_combined, "p3_mix": p3_mix, "p3_shares": p3_shares, "p7_found": p7_found, "p7_table": p7_table, "p4_found": p4_found, "p6_found": p6_found, "p6_split": p6_split, "p6_shares": p6_shares, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_profile": p10_profile}
-SQL: dict[str, str] = {}
+CAMERA_SQL = "regexp_replace(trim({}), '^(observation[.]images[.]|images?[.])', '')"
+SQL: dict[str, str] = {
+    "p4_found": f"""with im as (select image_id, min(repo_index) as r, min(episode_index) as e, min({CAMERA_SQL.format("video_key")}) as c, min(packed_ts) as p from camera_images
+        where image_id is not null and repo_index is not null and episode_index is not null and video_key is not null and packed_ts is not null group by image_id),
+      k as (select repo_index as r, episode_index as e, videos_json, unnest(json_keys(videos_json)) as key from episodes where videos_json is not null and repo_index is not null and episode_index is not null),
+      v as (select r, e, {CAMERA_SQL.format("key")} as c, max(try_cast(json_extract_string(videos_json, '$."' || key || '".from_timestamp') as double)) as b from k group by 1, 2, 3),
+      h as (select repo_index as r, 0.5 / coalesce(max(fps), max(try_cast(json_extract_string(info, '$.fps') as double))) + 1e-9 as tol from repos group by 1),
+      t as (select image_id, im.r, im.e, im.c, p - coalesce(b, 0) as t, tol from im left join v on v.r = im.r and v.e = im.e and v.c = im.c join h on h.r = im.r),
+      f as (select frame_id, min(repo_index) as r, min(episode_index) as e, min(step_ts) as s from frames where frame_id is not null and repo_index is not null and episode_index is not null and step_ts is not null group by frame_id),
+      j as (select frame_id, image_id, abs(s - t) as d, tol, row_number() over (partition by frame_id, c order by abs(s - t), t, image_id) as n from f join t on t.r = f.r and t.e = f.e)
+    select frame_id, image_id from j where n = 1 and d <= tol""",
+    "p6_found": f"""with recursive e as (select record_id as r, min(path) as p, min(dataset_name) as n, min(episode_index) as i, min(extra_json) as x from episodes where record_id is not null group by 1),
+      parents as (select r, trim(replace(unnest(regexp_extract_all(x, '"parent_id": *("[^"]*"|[0-9.]+)', 1)), '"', '')) as v from e),
+      origins as (select r, n, replace(unnest(regexp_extract_all(x, '"derived_from": *("[^"]*")', 1)), '"', '') as v from e),
+      keys as (select r, 'P|' || {resolved_sql("p", "n")} || '|' || coalesce(cast(i as varchar), '-') as k from e
+        union select r, 'Q|' || v from parents where v <> ''
+        union select r, 'P|' || {resolved_sql("regexp_extract(v, '^(.*)#([0-9]+)$', 1)", "n")} || '|' || cast(cast(regexp_extract(v, '^(.*)#([0-9]+)$', 2) as bigint) as varchar) from origins),
+      near as (select distinct a.r, b.r as m from keys a join keys b on a.k = b.k),
+      reach as (select r, m from near union select reach.r, near.m from reach join near on near.r = reach.m)
+    select r as record_id, min(m) as group_id from reach group by r having count(*) > 1""",
+}
