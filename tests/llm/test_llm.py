@@ -277,3 +277,30 @@ def test_reading_edges(spark):
 
 def test_queries_listed():
     assert {int(k[1:].split("_")[0]) for k in queries.QUERIES} == {1, 3, 4, 6, 7, 8, 9, 10}
+
+
+def test_lineage_edges(spark):
+    schema = "record_id long, path string, dataset_name string, episode_index long, extra_json string, key string, links int"
+    rows = [
+        (1, "/lake/datasets/a/x.npz", None, None, None, "clash", 1),
+        (2, "x.npz", "datasets/a/", None, "", None, None),
+        (3, None, "a", 3, '{"parent_id": 5}', None, None),
+        (4, "  ", None, None, '{"lineage": [{"parent_id": " 5 "}]}', None, None),
+        (5, "y.npz", "a", 0, '{"derived_from": "./z.npz#7"}', None, None),
+        (6, "file:/lake/datasets/a/z.npz", "b", 7, "{broken parent_id", None, None),
+        (7, "q.npz", None, 1, '{"derived_from": "z.npz#7"}', None, None),
+        (8, "q.npz", None, 1, None, None, None),
+        (None, "/lake/datasets/a/x.npz", None, None, None, None, None),
+    ]
+    df = spark.createDataFrame([*rows, rows[0]], schema)
+    got = {r.record_id: r.group_id for r in components.components(lineage.keys(df)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
+    assert lineage.keys(df.limit(0)).count() == 0
+
+
+def test_very_long_texts():
+    bpe = tokens.load(tokens.vocabulary())
+    text = "word " * 200_000 + "y" * 20_000
+    ids, n = bpe.encode([text, "", None])
+    assert n[1] == n[2] == 0 and n[0] > 200_000
+    assert len(reading.sentences(text)) == -(-200_001 // 20)
