@@ -64,3 +64,11 @@ def test_small_departure_from_smooth_motion(spark):
     x[300:303] -= 0.15
     x[400:] += 0.2
     assert found(spark, rows(x)) == {(i, "state", 0) for i in (200, 300, 301, 302)}
+
+
+def test_clashing_columns(spark):
+    data = [(*r, 7, True, 1) for r in rows(series())]
+    data[20] = (*data[20][:5], [3.0], *data[20][6:])
+    df = spark.createDataFrame(data, SCHEMA + ", block int, core boolean, dim int")
+    bounds = {("d", "state"): (np.array([-1.0]), np.array([1.0]))}
+    assert {tuple(r) for r in find_spikes(df, bounds).collect()} == {(20, "state", 0)}
