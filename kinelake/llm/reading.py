@@ -169,18 +169,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def fit(index: np.ndarray, begin: np.ndarray, target: np.ndarray, l2: float = 2e-4, steps: int = 60, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of a multinomial logistic model by full-batch Adam; ``target`` rows are distributions."""
+def fit(index: np.ndarray, begin: np.ndarray, target: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None, l2: float = 2e-4, steps: int = 60, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a multinomial logistic model by full-batch Adam, from ``start``; ``target`` rows are distributions."""
     k = target.shape[1]
     n = np.diff(np.append(begin, len(index)))
-    scale = 1 / np.sqrt(np.maximum(n, 1))
-    w, b = np.zeros((HASH, k)), np.log(target.mean(0) + 1e-3)
+    scale = (1 / np.sqrt(np.maximum(n, 1))).astype(np.float32)
+    w, b = (np.zeros((HASH, k), np.float32), np.log(target.mean(0) + 1e-3)) if start is None else (start[0].copy(), start[1].copy())
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         p = _softmax(_sums(w, index, begin) + b)
         g = (p - target) / len(target)
-        flat = np.repeat(g * scale[:, None], n, axis=0)
-        grad = np.stack([np.bincount(index, flat[:, j], HASH) for j in range(k)], 1) + l2 / len(target) * w
+        flat = np.repeat((g * scale[:, None]).astype(np.float32).T, n, axis=1)
+        grad = np.stack([np.bincount(index, flat[j], HASH) for j in range(k)], 1).astype(np.float32) + np.float32(l2 / len(target)) * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         b -= rate * g.sum(0)
@@ -228,7 +228,7 @@ def _train(docs: list[list[str]], y: np.ndarray, k: int, rounds: int, most: int)
     prior = np.full((len(flat), k), 0.1 / k) + np.eye(k)[label] * 0.9
     target = prior
     for r in range(rounds):
-        w, b = fit(index, begin, target)
+        w, b = fit(index, begin, target) if r == 0 else fit(index, begin, target, (w, b), steps=30)
         if r < rounds - 1:
             told = _softmax(_sums(w, index, begin) + b) ** 2 * np.maximum(prior, 0.15)
             target = told / told.sum(1, keepdims=True)
@@ -236,21 +236,19 @@ def _train(docs: list[list[str]], y: np.ndarray, k: int, rounds: int, most: int)
 
 
 def learn(texts: list[str], labels: list[int], levels: tuple[int, ...] = (1, 2, 3, 4), rounds: int = 2, max_sentences: int = 20_000) -> Model | None:
-    """The model of labelled texts: two halves to calibrate, then all."""
+    """The model of labelled texts: two thirds and the rest to calibrate, then all."""
     docs = [sentences(t) for t in texts]
     keep = [i for i, d in enumerate(docs) if d and labels[i] in levels]
     docs, y = [docs[i] for i in keep], np.array([levels.index(labels[i]) for i in keep], int)
     k = len(levels)
     if not docs:
         return None
-    half = np.arange(len(docs)) % 2 == 0
-    share = np.full((len(docs), k), 1 / k)
-    for side in (half, ~half):
-        if side.any() and (~side).any():
-            w, b = _train([d for d, s in zip(docs, side) if s], y[side], k, rounds, max_sentences // 2)
-            share[~side] = Model(np.array(levels), w, b, np.eye(k)).documents([d for d, s in zip(docs, side) if not s])
+    held = np.arange(len(docs)) % 3 == 0
+    w, b = _train([d for d, h in zip(docs, held) if not h] or docs, y[~held] if (~held).any() else y, k, rounds, max_sentences * 2 // 3)
+    share = Model(np.array(levels), w, b, np.eye(k)).documents([d for d, h in zip(docs, held) if h])
+    calibration = _calibrate(share, y[held], k)
     w, b = _train(docs, y, k, rounds, max_sentences)
-    return Model(np.array(levels), w.astype(np.float32), b, _calibrate(share, y, k))
+    return Model(np.array(levels), w, b, calibration)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, max_docs: int) -> tuple[list[str], list[int]]:
