@@ -133,7 +133,6 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # words: runs of letters (anything that is no space or ASCII punctuation or digit)
         letter = (c > 127) | ((c >= 97) & (c <= 122))
         begin = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
-        place = np.arange(len(c)) - np.repeat(begin, np.diff(np.append(begin, len(c)))) if len(begin) and begin[0] == 0 else None
         if len(begin):
             place = np.arange(len(c))
             place = place - np.concatenate([np.zeros(begin[0], np.int64), np.repeat(begin, np.diff(np.append(begin, len(c))))])
