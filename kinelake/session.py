@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +28,27 @@ def session(master: str = "local[*]", app: str = "kinelake", **conf: str) -> Spa
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a session, once, so that they can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kinelake_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="kinelake-"), "kinelake-package.zip")
+    with zipfile.ZipFile(target, "w") as box:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    box.write(full, os.path.join("kinelake", os.path.relpath(full, here)))
+    sc.addPyFile(target)
+    sc._kinelake_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,13 +10,16 @@ the query.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from kinelake.operators import temporal
 from kinelake.operators.temporal import MAX_HISTORY, history_offsets
 
 OUT = "stream string, now double, k bigint, valid boolean, offset double, value double, cleared boolean, error string"
@@ -106,6 +109,10 @@ class HistoryProcessor(StatefulProcessor):
 
 def live_history(stream: DataFrame, length: float, freq: float, capacity: int = MAX_HISTORY) -> DataFrame:
     """(stream, now, k, valid, offset, value, ...) per observation of a (stream, ts, value, context) stream."""
+    # stateful workers take no shipped files: what the processor needs travels with it
+    for module in (sys.modules[__name__], temporal):
+        if module.__name__ not in cloudpickle.list_registry_pickle_by_value():
+            cloudpickle.register_pickle_by_value(module)
     return stream.select("stream", "ts", "value", "context").groupBy("stream").transformWithStateInPandas(HistoryProcessor(length, freq, capacity), OUT, "append", "none")
 
 
