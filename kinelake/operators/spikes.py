@@ -29,6 +29,7 @@ from kinelake.functions.vectors import matrix
 VECTORS = ("state", "action")
 ZERO_BIN = -32768
 SMOOTH = 1 << 12  # added to a dimension's number for its details that allow for motion
+RUNS = 2 << 12  # and for the lengths of its runs of zero detail
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,9 @@ class SpikeRule:
     share of it. ``still``: a detail within that share of the median one
     is a trace. ``chance``: a run is stuck if ordinary still frames would make
     one as long less often than this; ``min_run`` frames at least. ``moves``: a
-    dimension moves if no larger share of its details is still. ``joint``: so
+    dimension moves if no larger share of its details is still. ``coarse``: one
+    of which more stand still has ordinary runs, and a run is stuck from the
+    length on at which the share of ordinary ones is ``ordinary``. ``joint``: so
     many dimensions that stand still together need only ``min_run`` frames.
     ``block`` and ``halo``: long episodes are cut into blocks of frames that see
     so many frames of their neighbours.
@@ -56,6 +59,8 @@ class SpikeRule:
     chance: float = 1e-4
     min_run: int = 8
     moves: float = 0.75
+    coarse: float = 0.1
+    ordinary: float = 0.2
     joint: int = 3
     bins: int = 16
     least: int = 20
@@ -167,7 +172,7 @@ class Series:
         return least, apart
 
     def histogram(self, core: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Dimension, bin and number of the finest and the motion details of core rows."""
+        """Dimension, bin and number of the finest and the motion details of core rows, and of the lengths of zero runs."""
         use = self.same & core[self.at[1:]]
         a = self.windows(1)
         a = a[core[self.at[a]]]
@@ -175,6 +180,11 @@ class Series:
         code = np.full(len(d), ZERO_BIN, np.int64)
         moved = d > 1e-9
         code[moved] = np.floor(np.log2(d[moved]) * bins).astype(np.int64)
+        edges = np.diff(np.concatenate([[0], (self.same & (self.detail <= 1e-9)).astype(np.int8), [0]]))
+        begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        mine = core[self.at[begin]] if len(begin) else np.zeros(0, bool)
+        of = np.concatenate([of, self.of[begin[mine]] + RUNS])
+        code = np.concatenate([code, np.minimum(end - begin + 1, 100)[mine]])
         unique, n = np.unique(of * 65536 + code + 32768, return_counts=True)
         return unique // 65536, unique % 65536 - 32768, n
 
@@ -307,10 +317,33 @@ def scales(histogram, rule: SpikeRule) -> dict[tuple[str | None, str], dict[str,
             if p <= rule.moves:
                 trace[dim] = tol
                 need[dim] = rule.min_run if p <= 0 else max(rule.min_run, 1 + int(np.ceil(np.log(rule.chance) / np.log(p))))
+                if p > rule.coarse:
+                    need[dim] = max(need[dim], natural_run(dict(dims.get(dim + RUNS, ())), rule.ordinary))
         out[key] = {"limit": limit, "motion": motion, "steepest": steepest, "trace": trace, "need": need}
     return out
 
 
+def natural_run(lengths: dict[int, int], share: float) -> int:
+    """The length from which runs of a coarse dimension are stuck rather than ordinary.
+
+    Ordinary runs fall off geometrically beyond about a dozen readings; the
+    length is the first from which no more than ``share`` of the runs are
+    expected to be ordinary. With too few runs to tell it is 24; without any
+    such length no run counts.
+    """
+    n = np.zeros(102)
+    for length, k in lengths.items():
+        n[length] += k
+    near, far = n[8:13].sum(), n[13:18].sum()
+    if near < 20:
+        return 24
+    q = min(max(far / near, 0.02), 0.9) ** 0.2
+    for length in range(18, 101):
+        if n[length:].sum() and max(far, 1) / 5 * q ** (length - 15) / (1 - q) <= share * n[length:].sum():
+            return length
+    return 2**40
+
+
 def find_spikes(frames: DataFrame, bounds: Bounds, held: dict[tuple[str | None, str], set[int]] | None = None, rule: SpikeRule = SpikeRule()) -> DataFrame:
     """(frame_id, vector, dim) of every implausible reading, judged by its source.
 

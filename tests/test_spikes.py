@@ -72,3 +72,14 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame(data, SCHEMA + ", block int, core boolean, dim int")
     bounds = {("d", "state"): (np.array([-1.0]), np.array([1.0]))}
     assert {tuple(r) for r in find_spikes(df, bounds).collect()} == {(20, "state", 0)}
+
+
+def test_natural_run_lengths():
+    from kinelake.operators.spikes import natural_run
+
+    ordinary = {k: int(4000 * 0.7**k) for k in range(2, 40)}
+    stuck = {k: 3 for k in range(8, 40)}
+    assert natural_run(ordinary, 0.2) == 2**40 or natural_run(ordinary, 0.2) > 24
+    both = {k: ordinary.get(k, 0) + stuck.get(k, 0) for k in range(2, 40)}
+    assert 18 <= natural_run(both, 0.2) <= 26
+    assert natural_run({2: 5}, 0.2) == 24
