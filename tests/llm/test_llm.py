@@ -157,6 +157,17 @@ def test_split(spark):
     assert all(abs(part[k] - v) < 0.01 for k, v in queries.SHARES.items())
 
 
+@pytest.mark.parametrize("head, shard_groups", [(0, 200), (1, 200), (6, 200), (6, 4000)])
+def test_split_with_a_large_group(spark, head, shard_groups):
+    """A third of all records in one group, wherever the hashed start puts it; an exact split exists."""
+    groups = spark.createDataFrame([(i, head) for i in range(10_000, 11_000)] + [(head, head)], "record_id long, group_id long")
+    records = spark.createDataFrame([(i, "a" if i % 4 else "b") for i in [head, *range(10_000, 11_000)]] + [(i, "abcd"[i % 4]) for i in range(100, 2099)], "record_id long, dataset string")
+    got = components.split(records, groups, queries.SHARES, label="dataset", shard_groups=shard_groups).toPandas()
+    assert len(got) == 3000 and (got.groupby("group_id").split.nunique() == 1).all()
+    part = got.split.value_counts(normalize=True)
+    assert all(abs(part[k] - v) < 0.005 for k, v in queries.SHARES.items())
+
+
 # drift
 
 
