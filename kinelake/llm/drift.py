@@ -317,6 +317,21 @@ def _keys(info: pd.Series, rows: pd.Series) -> pd.Series:
 VALUE = "struct<numbers:array<double>,text:string>"
 
 
+def _whole(value) -> list[float | None] | None:
+    """All numbers of a value in order, those of nested lists too; None if any of it is something else."""
+    if isinstance(value, list):
+        out: list[float | None] = []
+        for x in value:
+            n = [None] if x is None else _whole(x)
+            if n is None:
+                return None
+            out += n
+        return out
+    if isinstance(value, str) and not value.strip():
+        return None
+    return _numbers(value)
+
+
 def _values(rows: pd.Series) -> pd.Series:
     out = []
     for text in rows:
@@ -328,8 +343,7 @@ def _values(rows: pd.Series) -> pd.Series:
         for i, r in enumerate(raw if isinstance(raw, list) else []):
             for k, v in (r.items() if isinstance(r, dict) else ()):
                 if v is not None:
-                    n = _numbers(v)
-                    for_file.append({"row": i, "key": k, "numbers": n, "text": None if n is not None else v if isinstance(v, str) else json.dumps(v)})
+                    for_file.append({"row": i, "key": k, "numbers": _whole(v), "text": v if isinstance(v, str) else json.dumps(v)})
         out.append(for_file)
     return pd.Series(out)
 
@@ -337,14 +351,20 @@ def _values(rows: pd.Series) -> pd.Series:
 def table_of(files: DataFrame) -> DataFrame:
     """One table of all raw rows: (repo_index, file_id, row, column, numbers, text), one row per value.
 
-    ``column`` is the first key that the field had in its source, numbers come
-    as a list however they were written, everything else as text; null values
+    ``column`` is the first key that the field had in its source; a key that
+    its file does not declare is its own column. A column whose values are all
+    numbers has them as a list however they were written (nested lists one
+    after another), any other column has all its values as text; null values
     are left out. A source's fields are its own, so the long form is the one
     schema that holds all sources.
     """
     found = cut(changes(files))
-    names = field_names(files, found)
+    names = field_names(files, found).select("file_id", "key", "column")
     values = F.pandas_udf(_values, "array<struct<row:int,key:string,numbers:array<double>,text:string>>")
     once = files.filter("file_id is not null").dropDuplicates(["file_id"])
     long = once.select("repo_index", "file_id", F.explode(values("rows_json")).alias("v")).select("repo_index", "file_id", "v.*")
-    return long.join(names, ["repo_index", "file_id", "key"]).select("repo_index", "file_id", "row", "column", "numbers", "text")
+    long = cut(long.join(names, ["file_id", "key"], "left").withColumn("column", F.coalesce("column", "key")))
+    # one type per column: text as soon as one of its values is no number
+    mixed = long.filter("numbers is null").select(F.col("repo_index").alias("_r"), F.col("column").alias("_c"), F.lit(True).alias("as_text")).distinct()
+    typed = long.join(mixed, F.col("repo_index").eqNullSafe(F.col("_r")) & (F.col("column") == F.col("_c")), "left")
+    return typed.select("repo_index", "file_id", "row", "column", F.when(F.col("as_text").isNull(), F.col("numbers")).alias("numbers"), F.when(F.col("as_text"), F.col("text")).alias("text"))

@@ -200,6 +200,27 @@ def test_changes_and_table(spark):
     assert drift.changes(df.limit(0)).count() == 0
 
 
+def test_table_is_whole(spark):
+    t = datetime.datetime(2025, 3, 1)
+    told = info({"acts": ("string", [2], None), "grid": ("float32", [2, 2], None), "mixed": ("float32", [1], None), "gap": ("float32", [2], None)})
+    one = [{"acts": ["pick", "place"], "grid": [[1, 2], [3, 4]], "mixed": 1.5, "gap": [1, None]}]
+    two = [{"acts": "", "grid": "[5, 6, 7, 8]", "mixed": "about 2", "extra": 7}]
+    rows = [(1, 1, told, json.dumps(one), t), (2, 1, told, json.dumps(two), t + datetime.timedelta(hours=1)), (3, None, told, json.dumps([{"mixed": 3}]), t)]
+    df = spark.createDataFrame(rows, "file_id long, repo_index long, info string, rows_json string, written_at timestamp_ntz")
+    got = {(r.file_id, r.column): (r.numbers, r.text) for r in drift.table_of(df).collect()}
+    assert got == {
+        (1, "acts"): (None, '["pick", "place"]'),
+        (2, "acts"): (None, ""),
+        (1, "grid"): ([1, 2, 3, 4], None),
+        (2, "grid"): ([5, 6, 7, 8], None),
+        (1, "mixed"): (None, "1.5"),
+        (2, "mixed"): (None, "about 2"),
+        (1, "gap"): ([1, None], None),
+        (2, "extra"): ([7], None),
+        (3, "mixed"): ([3], None),
+    }
+
+
 # tokens
 
 
