@@ -1,10 +1,12 @@
 """Schemas that drift between files: what changed, and one table of all rows.
 
 Each file is held against the file before it of the same source. Both schemas
-are graphs: a field has a type, a shape, a namespace, element names and values.
-Similarity flooding starts from what names and values say for themselves and
-lets pairs of fields and pairs of what they point to pass scores to each other
-until they settle; consistent correspondences are then chosen best first.
+are graphs: a field points to its type, shape, namespace, element names and
+values. Similarity flooding starts from what the names of two fields, two types,
+two namespaces, two bodies of values say for themselves and lets pairs of fields
+and pairs of what they point to pass similarity to each other up to the
+fixpoint, which alone decides: consistent correspondences are taken from it,
+best first, as far as they reach a share of a field's similarity with itself.
 
 Defined results: a file repeated under its id counts once; ties of time go by
 id; a file without time comes first; unreadable info declares the fields that
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from kinelake.session import cut
 
 CAMERA_TYPES = ("video", "image")
-SUFFIX = re.compile(r"^(v\d+|raw|new|old)$")
+NEST = 0.7  # weight of namespaces
+EMPTY = (None, (), "")  # attributes that tell nothing
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -99,11 +102,8 @@ class Field:
         self.names = tuple(map(str, names)) if isinstance(names, list) else None
         values = [r.get(key) for r in rows]
         self.kinds = {json_kind(v) for v in values} - {None}
-        words = [w.lower() for w in WORDS.findall(key)]
-        while len(words) > 1 and (SUFFIX.match(words[-1]) or (len(words) > 2 and words[-1].isdigit() and words[-2] == "v")):
-            words = words[:-2] if words[-1].isdigit() else words[:-1]
-        self.words = words
-        self.space = tuple(words[:-1])
+        self.words = words = [w.lower() for w in WORDS.findall(key)]
+        self.space = tuple(re.split(r"[./]", key)[:-1])
         known = [v for v in values if v is not None]
         self.truth = bool(known) and all(isinstance(v, bool) or (isinstance(v, str) and v.strip().lower() in ("true", "false")) for v in known)
         numbers = [n for n in map(_numbers, known) if n] if not self.truth else []
@@ -121,11 +121,11 @@ class Field:
         return "text" if d.startswith(("str", "utf", "text")) else "bool" if d.startswith("bool") else "int" if d.startswith(("int", "uint")) else "float" if d.startswith(("float", "double")) else d
 
 
-def name_score(a: Field, b: Field) -> float:
+def name_likeness(a: Field, b: Field) -> float:
     x, y = "".join(a.words), "".join(b.words)
     if x == y:
         return 1.0
-    if x and y and (x.endswith(y) or y.endswith(x)):
+    if x and y and (x.startswith(y) or y.startswith(x) or x.endswith(y) or y.endswith(x)):
         return 0.9
     p, q = set(a.words), set(b.words)
     shared = p & q
@@ -134,8 +134,8 @@ def name_score(a: Field, b: Field) -> float:
     return max(jaccard, 0.6 if last else 0.0)
 
 
-def value_score(a: Field, b: Field) -> tuple[float, float]:
-    """(score, weight) of the values; weight 0 where they tell nothing."""
+def value_likeness(a: Field, b: Field) -> tuple[float, float]:
+    """(likeness, weight of the edge) of the values of two fields; weight 0 where they tell nothing."""
     if a.vector is not None and b.vector is not None:
         u, v = np.nanmean(a.vector, 0) if a.vector.size else a.vector, np.nanmean(b.vector, 0) if b.vector.size else b.vector
         n = min(len(u), len(v))
@@ -157,60 +157,101 @@ def value_score(a: Field, b: Field) -> tuple[float, float]:
     return (0.0, 3.0) if known(a) and known(b) else (0.0, 0.0)
 
 
-def own_score(a: Field, b: Field) -> float:
-    """What a pair of fields says for itself: the weighted mean of names, values and declarations."""
-    value, weight = value_score(a, b)
-    parts = [(name_score(a, b), 2.0), (value, weight)]
-    parts.append((1.0 if a.family == b.family else 0.5 if {a.family, b.family} <= {"int", "float"} else 0.0, 1.0))
-    parts.append((1.0 if a.shape == b.shape else 0.3, 0.7))
-    if a.names and b.names:
-        common = len(set(a.names) & set(b.names)) / max(len(set(a.names)), len(set(b.names)))
-        parts.append((common, 1.5))
-    return sum(s * w for s, w in parts) / sum(w for _, w in parts)
+class Arc:
+    """One label of the pairwise connectivity graph: field pairs point to pairs of attribute nodes.
+
+    ``like`` is what the attribute nodes say for themselves, ``weight`` the
+    share of the label in what a field pair takes in, ``give`` the share of what
+    attribute nodes take from field pairs in what they hold.
+    """
+
+    def __init__(self, left: list, right: list, like, weight, give: float = 0.25):
+        self.give = give
+        xs, ys = list(dict.fromkeys(left)), list(dict.fromkeys(right))
+        self.rows, self.cols = np.array([xs.index(x) for x in left]), np.array([ys.index(y) for y in right])
+        self.like = np.array([[like(x, y) for y in ys] for x in xs])
+        told = np.array([[x not in EMPTY and y not in EMPTY for y in right] for x in left], float)
+        self.weight = told * weight
+        self.a, self.b = (self.rows[None, :] == np.arange(len(xs))[:, None]).astype(float), (self.cols[None, :] == np.arange(len(ys))[:, None]).astype(float)
+        self.size = self.a.sum(1)[:, None] + self.b.sum(1)[None, :]
+        self.single = len(xs) == len(left) and len(ys) == len(right)
+
+    def flow(self, score: np.ndarray) -> np.ndarray:
+        """What each field pair takes in: the similarity of the nodes it points to, once these took theirs from all field pairs that point to them.
+
+        A node pair takes the mean, over the fields of both nodes, of the best
+        that each finds among the other's: as in a comparison of two sets.
+        """
+        give = self.give
+        if self.single:
+            return ((1 - give) * self.like + give * score[np.argsort(self.rows)][:, np.argsort(self.cols)])[self.rows][:, self.cols]
+        from_left = np.stack([np.where(c > 0, score, 0).max(1) for c in self.b], 1)  # left fields x right nodes
+        from_right = np.stack([np.where(r[:, None] > 0, score, 0).max(0) for r in self.a], 0)  # left nodes x right fields
+        taken = (self.a @ from_left + from_right @ self.b.T) / self.size
+        node = (1 - give) * self.like + give * taken
+        return node[self.rows][:, self.cols]
+
+
+def connectivity(left: list[Field], right: list[Field], open_: np.ndarray) -> list[Arc]:
+    """The labels along which similarity flows between two schema graphs: types, shapes, namespaces, element names, values.
+
+    What namespaces are called tells little: they are alike as far as their fields are.
+    """
+
+    def types(x: str, y: str) -> float:
+        return 1.0 if x == y else 0.5 if {x, y} <= {"int", "float"} else 0.0
+
+    def parts(x: tuple, y: tuple) -> float:
+        return len(set(x) & set(y)) / max(len(set(x)), len(set(y)), 1)
+
+    both = [[value_likeness(f, g) if open_[i, j] else (0.0, 0.0) for j, g in enumerate(right)] for i, f in enumerate(left)]
+    value = np.array(both, float).reshape(len(left), len(right), 2)
+    return [
+        Arc([f.family for f in left], [f.family for f in right], types, 1.0),
+        Arc([f.shape for f in left], [f.shape for f in right], lambda x, y: 1.0 if x == y else 0.3, 0.7),
+        Arc([f.names or () for f in left], [f.names or () for f in right], parts, 1.5),
+        Arc([f.space for f in left], [f.space for f in right], lambda x, y: float(x == y), NEST, 0.9),
+        Arc(list(range(len(left))), list(range(len(right))), lambda i, j: value[i, j, 0], value[..., 1]),
+    ]
 
 
-def flood(left: list[Field], right: list[Field], own: np.ndarray, rounds: int = 12, pull: float = 0.35) -> np.ndarray:
-    """Scores of all pairs of fields once similarity has flowed over both graphs.
+def flood(own: np.ndarray, arcs: list[Arc], open_: np.ndarray, keep: float = 0.25) -> np.ndarray:
+    """Similarities of all field pairs at the fixpoint.
 
-    Pairs of types, shapes, namespaces and element names take the mean score of
-    the field pairs that point to them and give it back; 0 to 1.
+    A pair keeps ``keep`` of what names say and takes the rest from the nodes it
+    points to; node pairs take their ``give`` from the field pairs that point to
+    them. Pairs that are not ``open_`` (equal keys, and what they exclude) stay.
+    Both steps are averages and maxima, so a round brings any two states nearer
+    by a factor of (1 - keep) * give at least: there is one fixpoint, and rounds
+    go on until nothing moves.
     """
-    graphs = []
-    for of in (lambda f: (f.family,), lambda f: (f.shape,), lambda f: f.space, lambda f: f.names or ()):
-        a_nodes = {x: i for i, x in enumerate(dict.fromkeys(map(of, left)))}
-        b_nodes = {x: i for i, x in enumerate(dict.fromkeys(map(of, right)))}
-        a = np.zeros((len(left), len(a_nodes)))
-        b = np.zeros((len(right), len(b_nodes)))
-        a[np.arange(len(left)), [a_nodes[of(f)] for f in left]] = 1
-        b[np.arange(len(right)), [b_nodes[of(f)] for f in right]] = 1
-        graphs.append((a, b, np.maximum(a.sum(0)[:, None], b.sum(0)[None, :])))
-    score = own.copy()
-    for _ in range(rounds):
-        given = np.zeros_like(score)
-        for a, b, size in graphs:
-            node = a.T @ (score * (score >= score.max(1, keepdims=True))) @ b / size
-            given += a @ np.minimum(node, 1) @ b.T
-        new = (1 - pull) * own + pull * given / len(graphs)
-        if np.abs(new - score).max() < 1e-4:
+    total = sum(arc.weight for arc in arcs)
+    score = own
+    while True:
+        taken = sum(arc.weight * arc.flow(score) for arc in arcs) / np.maximum(total, 1e-12)
+        new = np.where(open_, np.where(total > 0, keep * own + (1 - keep) * taken, own), own)
+        if np.abs(new - score).max() < 1e-6:
             return new
         score = new
-    return score
 
 
 def correspond(left: list[Field], right: list[Field], least: float = 0.57) -> list[tuple[Field, Field]]:
     """Fields of ``left`` that go on under another key in ``right``.
 
-    Equal keys hold; of the rest, pairs are taken best first by flooded score if
-    what they say for themselves reaches ``least``.
+    Equal keys hold; of the other pairs those are taken, best first, so that no
+    two fields prefer each other to what they got, whose flooded similarity
+    reaches ``least`` of that of a field with itself, which the fixpoint makes 1.
     """
     kept = {f.key for f in left} & {f.key for f in right}
-    gone, come = [f for f in left if f.key not in kept], [f for f in right if f.key not in kept]
-    if not gone or not come:
-        return []
-    own = np.array([[1.0 if a.key == b.key else 0.0 if a.key in kept or b.key in kept else own_score(a, b) for b in right] for a in left])
-    score = flood(left, right, own)
     rows, cols = [i for i, f in enumerate(left) if f.key not in kept], [j for j, f in enumerate(right) if f.key not in kept]
-    order = sorted(((-score[i, j] - own[i, j], left[i].key, right[j].key, i, j) for i in rows for j in cols if own[i, j] >= least))
+    if not rows or not cols:
+        return []
+    own, open_ = np.array([[float(a.key == b.key) for b in right] for a in left]), np.zeros((len(left), len(right)), bool)
+    for i in rows:
+        for j in cols:
+            own[i, j], open_[i, j] = name_likeness(left[i], right[j]), True
+    score = flood(own, connectivity(left, right, open_), open_)
+    order = sorted((-score[i, j], left[i].key, right[j].key, i, j) for i in rows for j in cols if score[i, j] >= least)
     used_i, used_j, pairs = set(), set(), []
     for *_, i, j in order:
         if i not in used_i and j not in used_j:
@@ -333,6 +374,7 @@ def _whole(value) -> list[float | None] | None:
 
 
 def _values(rows: pd.Series) -> pd.Series:
+    """Values of all raw rows; each row begins with an entry without key, so that one without values is there too."""
     out = []
     for text in rows:
         try:
@@ -341,30 +383,63 @@ def _values(rows: pd.Series) -> pd.Series:
             raw = []
         for_file = []
         for i, r in enumerate(raw if isinstance(raw, list) else []):
-            for k, v in (r.items() if isinstance(r, dict) else ()):
-                if v is not None:
-                    for_file.append({"row": i, "key": k, "numbers": _whole(v), "text": v if isinstance(v, str) else json.dumps(v)})
+            if isinstance(r, dict):
+                for_file.append({"row": i, "key": None, "numbers": None, "text": None})
+                for k, v in r.items():
+                    if v is not None:
+                        for_file.append({"row": i, "key": k, "numbers": _whole(v), "text": v if isinstance(v, str) else json.dumps(v)})
         out.append(for_file)
     return pd.Series(out)
 
 
+def _long(files: DataFrame) -> DataFrame:
+    """(repo_index, file_id, row, key, column, numbers, text) of all values under the first key of their field."""
+    found = cut(changes(files))
+    names = field_names(files, found).select("file_id", "key", "column")
+    values = F.pandas_udf(_values, "array<struct<row:int,key:string,numbers:array<double>,text:string>>")
+    once = files.filter("file_id is not null").dropDuplicates(["file_id"])
+    long = once.select("repo_index", "file_id", F.explode(values("rows_json")).alias("v")).select("repo_index", "file_id", "v.*")
+    return cut(long.join(names, ["file_id", "key"], "left").withColumn("column", F.coalesce("column", "key")))
+
+
 def table_of(files: DataFrame) -> DataFrame:
-    """One table of all raw rows: (repo_index, file_id, row, column, numbers, text), one row per value.
+    """All raw rows, a row per value: (repo_index, file_id, row, column, numbers, text).
 
     ``column`` is the first key that the field had in its source; a key that
     its file does not declare is its own column. A column whose values are all
     numbers has them as a list however they were written (nested lists one
     after another), any other column has all its values as text; null values
-    are left out. A source's fields are its own, so the long form is the one
-    schema that holds all sources.
+    are left out.
     """
-    found = cut(changes(files))
-    names = field_names(files, found).select("file_id", "key", "column")
-    values = F.pandas_udf(_values, "array<struct<row:int,key:string,numbers:array<double>,text:string>>")
-    once = files.filter("file_id is not null").dropDuplicates(["file_id"])
-    long = once.select("repo_index", "file_id", F.explode(values("rows_json")).alias("v")).select("repo_index", "file_id", "v.*")
-    long = cut(long.join(names, ["file_id", "key"], "left").withColumn("column", F.coalesce("column", "key")))
+    long = _long(files).filter("key is not null")
     # one type per column: text as soon as one of its values is no number
     mixed = long.filter("numbers is null").select(F.col("repo_index").alias("_r"), F.col("column").alias("_c"), F.lit(True).alias("as_text")).distinct()
     typed = long.join(mixed, F.col("repo_index").eqNullSafe(F.col("_r")) & (F.col("column") == F.col("_c")), "left")
     return typed.select("repo_index", "file_id", "row", "column", F.when(F.col("as_text").isNull(), F.col("numbers")).alias("numbers"), F.when(F.col("as_text"), F.col("text")).alias("text"))
+
+
+def rows_of(files: DataFrame) -> DataFrame:
+    """One table of all raw rows with typed columns: (repo_index, file_id, row, then a column per field).
+
+    Fields of all sources are united by the first key they had, letter case
+    aside; of two fields of one row that meet so, the second in order of keys
+    goes to ``<name>#2`` and so on. A column is double if all its values are
+    single numbers, array<double> if they are numbers or lists of them, boolean
+    if they are true or false, else string. A row without values is a row of nulls. Only the column names and
+    types come to the driver, as the schema of any table does.
+    """
+    long = _long(files)
+    same = W.partitionBy("file_id", "row", F.lower("column")).orderBy("column", "key")
+    long = long.withColumn("_n", F.row_number().over(same)).withColumn("name", F.lower("column"))
+    long = long.withColumn("name", F.when(F.col("_n") > 1, F.concat("name", F.lit("#"), F.col("_n").cast("string"))).otherwise(F.col("name")))
+    kinds = long.filter("key is not null").groupBy("name").agg(F.bool_and(F.col("numbers").isNotNull()).alias("plain"), F.max(F.size("numbers")).alias("most"), F.min(F.size("numbers")).alias("least"), F.bool_and(F.lower(F.trim("text")).isin("true", "false")).alias("truth")).orderBy("name").collect()
+    row = long.groupBy("repo_index", "file_id", "row").agg(F.map_from_entries(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("name", F.struct("numbers", "text").alias("v"))))).alias("m"))
+
+    def column(k) -> object:
+        v = F.try_element_at("m", F.lit(k.name))
+        if not k.plain:
+            return F.trim(v["text"]).cast("boolean") if k.truth else v["text"]
+        return v["numbers"][0] if k.most == k.least == 1 else v["numbers"]
+
+    taken = {"repo_index", "file_id", "row"}
+    return row.select("repo_index", "file_id", "row", *[column(k).alias(f"{k.name}#value" if k.name in taken else k.name) for k in kinds])

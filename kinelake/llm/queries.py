@@ -65,7 +65,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All raw rows under the first names of their fields."""
+    """All raw rows in one table with a typed column per field."""
+    return drift.rows_of(table(spark, sf_dir, "schema_files"))
+
+
+def p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values of all raw rows under the first names of their fields, a row each."""
     return drift.table_of(table(spark, sf_dir, "schema_files"))
 
 
@@ -157,7 +162,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), *[F.round(F.avg(f"p{k}"), 6).alias(f"p{k}") for k in range(1, 5)])
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_days": p1_days, "p1_days_combined": p1_days_combined, "p3_mix": p3_mix, "p3_shares": p3_shares, "p7_found": p7_found, "p7_table": p7_table, "p4_found": p4_found, "p6_found": p6_found, "p6_split": p6_split, "p6_shares": p6_shares, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_days": p1_days, "p1_days_combined": p1_days_combined, "p3_mix": p3_mix, "p3_shares": p3_shares, "p7_found": p7_found, "p7_table": p7_table, "p7_values": p7_values, "p4_found": p4_found, "p6_found": p6_found, "p6_split": p6_split, "p6_shares": p6_shares, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_profile": p10_profile}
 CAMERA_SQL = "regexp_replace(trim({}), '^(observation[.]images[.]|images?[.])', '')"
 SQL: dict[str, str] = {
     "p4_found": f"""with im as (select image_id, min(repo_index) as r, min(episode_index) as e, min({CAMERA_SQL.format("video_key")}) as c, min(packed_ts) as p from camera_images

@@ -221,6 +221,59 @@ def test_table_is_whole(spark):
     }
 
 
+def test_flooding_decides(monkeypatch):
+    """Without it, names alone would join two quantities and miss a rename; without feedback a pair without values is missed."""
+    a = info({"observation.state": ("float32", [3], None), "effort": ("float32", [3], None)})
+    b = info({"proprio": ("float32", [3], None), "effort_limit": ("float32", [3], None)})
+    rows_a = json.dumps([{"observation.state": [0.1, 0.5, -0.3], "effort": [0.5, 0.1, 0.3]}])
+    rows_b = json.dumps([{"proprio": [0.11, 0.5, -0.29], "effort_limit": [30.0, 40.0, 20.0]}])
+    want = {("proprio", "renamed"), ("effort", "removed"), ("effort_limit", "added")}
+    assert {c[:2] for c in drift.compare((a, rows_a), (b, rows_b))} == want
+    c = info({"arm.left": ("float32", [2], None), "arm.right": ("float32", [2], None), "arm.tip": ("float32", [3], None)})
+    d = info({"limb.left": ("float32", [2], None), "limb.right": ("float32", [2], None), "limb.end": ("float32", [3], None)})
+    rows_c = json.dumps([{"arm.left": [1.0, 2.0], "arm.right": [5.0, 6.0], "arm.tip": None}])
+    rows_d = json.dumps([{"limb.left": [1.0, 2.01], "limb.right": [5.0, 6.0], "limb.end": None}])
+    told = {c[:2] for c in drift.compare((c, rows_c), (d, rows_d))}
+    assert told == {("limb.left", "renamed"), ("limb.right", "renamed"), ("limb.end", "renamed")}
+    with monkeypatch.context() as m:
+        m.setattr(drift.Arc, "flow", lambda self, score: self.like[self.rows][:, self.cols])
+        assert ("limb.end", "added") in {c[:2] for c in drift.compare((c, rows_c), (d, rows_d))}
+    monkeypatch.setattr(drift, "flood", lambda own, arcs, open_: own)
+    assert {c[:2] for c in drift.compare((a, rows_a), (b, rows_b))} != want
+
+
+def test_flood_has_one_fixpoint():
+    r = np.random.default_rng(3)
+    left, right = ([drift.Field(f"{s}.{w}{i}", {"dtype": "float32", "shape": [int(r.integers(1, 4))]}, []) for i, w in enumerate("abcd")] for s in ("x", "y"))
+    open_ = np.ones((4, 4), bool)
+    arcs = drift.connectivity(left, right, open_)
+    own = r.random((4, 4))
+    score = drift.flood(own, arcs, open_)
+    total = sum(a.weight for a in arcs)
+    again = 0.25 * own + 0.75 * sum(a.weight * a.flow(score) for a in arcs) / total
+    assert np.abs(again - score).max() < 1e-5 and 0 <= score.min() and score.max() <= 1
+
+
+def test_rows_of_all_sources(spark):
+    t = datetime.datetime(2025, 3, 1)
+    a, b = info({"State": ("float32", [2], None), "ok": ("bool", [1], None), "n": ("int64", [1], None)}), info({"state": ("string", [2], None), "note": ("string", [1], None), "row": ("int64", [1], None)})
+    rows = [
+        (1, 1, a, json.dumps([{"State": [1, 2], "ok": True, "n": 3}, {"State": None, "ok": None, "n": None}]), t),
+        (2, 2, b, json.dumps([{"state": "[4, 5]", "note": "x", "row": 8}]), t),
+        (3, 3, a, "oops", t),
+        (4, 4, info({"k": ("int64", [1], None), "K": ("int64", [1], None)}), json.dumps([{"k": 1, "K": 2}]), t),
+    ]
+    df = spark.createDataFrame([*rows, rows[0]], "file_id long, repo_index long, info string, rows_json string, written_at timestamp_ntz")
+    got = drift.rows_of(df)
+    assert dict(got.dtypes) == {"repo_index": "bigint", "file_id": "bigint", "row": "int", "k": "double", "k#2": "double", "n": "double", "note": "string", "ok": "boolean", "row#value": "double", "state": "array<double>"}
+    told = {(r["file_id"], r["row"]): r for r in got.collect()}
+    assert set(told) == {(1, 0), (1, 1), (2, 0), (4, 0)}
+    assert (told[1, 0]["state"], told[1, 0]["ok"], told[1, 0]["n"]) == ([1, 2], True, 3) and told[1, 1]["state"] is None
+    assert (told[2, 0]["state"], told[2, 0]["note"], told[2, 0]["row#value"]) == ([4, 5], "x", 8)
+    assert {told[4, 0]["k"], told[4, 0]["k#2"]} == {1, 2}
+    assert drift.rows_of(df.limit(0)).count() == 0
+
+
 # tokens
 
 
