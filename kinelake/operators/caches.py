@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinelake.operators.temporal import running
+
 
 def pack_offsets(payloads: DataFrame, keys: list[str], order: list[str], length: str) -> DataFrame:
-    """Adds ``offset``: where each payload of a pack begins."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return payloads.withColumn("offset", (F.sum(length).over(w) - F.col(length)).cast("long"))
+    """Adds ``offset``: where each payload of a pack begins, by sums in two levels, so that no pack is one task."""
+    return running(payloads, keys, order, length).withColumnRenamed("before", "offset")
 
 
 def pack_faults(index: DataFrame, keys: list[str], sizes: DataFrame | None = None) -> DataFrame:
@@ -126,16 +127,27 @@ def write_shards(rows: DataFrame, path: str, contract: dict, row: str = "row_id"
     done = [int(d.name.removeprefix("done-").removesuffix(".json")) for d in os.scandir(path) if d.name.startswith("done-")]
     spark = rows.sparkSession
     todo = pending(planned, spark.createDataFrame([(d,) for d in done], "shard long"), ["shard"])
-    todo.repartition("shard").sortWithinPartitions("shard", row).write.partitionBy("shard").mode("append").option("partitionOverwriteMode", "dynamic").parquet(os.path.join(path, "rows"))
-    counts = spark.read.parquet(os.path.join(path, "rows")).groupBy("shard").count().collect() if os.path.isdir(os.path.join(path, "rows")) else []
-    fresh = [r for r in counts if r["shard"] not in done]
-    for r in fresh:
-        with open(os.path.join(path, f"done-{r['shard']}.json"), "w") as file:
-            json.dump({"rows": r["count"]}, file)
+    # a shard is written over whole, so rows that an interrupted run left without a marker are not there twice
+    todo.repartition("shard").sortWithinPartitions("shard", row).write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(os.path.join(path, "rows"))
+    fresh = 0
+    if os.path.isdir(os.path.join(path, "rows")):
+        counts = spark.read.parquet(os.path.join(path, "rows")).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(row).alias("ids"))
+        written_ = pending(counts, spark.createDataFrame([(d,) for d in done], "shard long"), ["shard"])
+        for r in written_.toLocalIterator():
+            if r["rows"] != r["ids"]:
+                raise ValueError(f"shard {r['shard']} holds a {row} twice")
+            marker = os.path.join(path, f"done-{r['shard']}.json")
+            with open(marker + ".tmp", "w") as file:
+                json.dump({"rows": r["rows"]}, file)
+            os.replace(marker + ".tmp", marker)
+            fresh += 1
+        shards, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    else:
+        shards = total = 0
     with open(manifest + ".tmp", "w") as file:
-        json.dump(told | {"rows": sum(r["count"] for r in counts), "shards": len(counts)}, file)
+        json.dump(told | {"rows": total, "shards": shards}, file)
     os.replace(manifest + ".tmp", manifest)
-    return len(fresh)
+    return fresh
 
 
 def read_shards(spark, path: str, contract: dict | None = None) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinelake.session import written
+
 EPS = 1e-6
 
 
@@ -31,43 +34,78 @@ def moments(cells: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     )
 
 
-def quantiles(cells: DataFrame, by: list[str], qs: dict[str, float], value: str = "value") -> DataFrame:
-    """Exact quantiles with linear interpolation; groups of any size, their distinct values in an aggregation buffer."""
-    got = cells.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(q) for q in qs.values()])).alias("_q"))
-    return got.select(*by, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(qs)])
+def at_ranks(cells: DataFrame, by: list[str], ranks: dict[str, Callable[[Column], Column]], value: str = "value", most: int = 100_000) -> DataFrame:
+    """(by, n, names): the values at ranks (from 0) of each group, exact, for groups of any size.
 
+    ``ranks``: for each name a whole number made of the group's size. A counting
+    pass over cells of log size finds those that hold the ranks; cells with more
+    than ``most`` values that are not all equal are counted again in finer cells
+    between their least and greatest value, until none is left. Only the
+    distinct values of the last cells are sorted. No pass holds more than the
+    counts of a group's cells. Null and NaN are left out.
+    """
+    x = cells.select(*by, F.lit(0).alias("_g"), F.col(value).cast("double").alias("_v")).filter("_v is not null and not isnan(_v)")
+    keys = [*by, "_g"]
+    bits = 16
+    log = F.log2(F.abs("_v")) * 64
+    fine = F.when(F.abs("_v") == float("inf"), F.lit(1 << 20)).otherwise(F.floor(log) + (1 << 18))
+    cell = F.when(F.col("_v") == 0, F.lit(0)).otherwise(F.signum("_v") * fine).cast("long")
+    count = [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+
+    def held(counts: DataFrame, within: list[str]) -> DataFrame:
+        """The cells that hold a rank, with the number of values before each."""
+        run = W.partitionBy(*within).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        placed = counts.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_c").over(run), F.lit(0)))
+        hit = F.lit(False)
+        for rank in ranks.values():
+            r = rank(F.col("_n"))
+            hit = hit | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))
+        return written(placed.filter(hit).select(*keys, "_lo", "_hi", "_c", "_before", "_n"))
+
+    first = x.groupBy(*keys, cell.alias("_b")).agg(*count)
+    first = first.withColumn("_base", F.lit(0).cast("long")).withColumn("_n", F.sum("_c").over(W.partitionBy(*keys)))
+    wanted = held(first, keys)
+
+    def inside() -> DataFrame:
+        # a few rows per group
+        same = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+        few = wanted
+        for k in keys:
+            few = few.withColumnRenamed(k, f"_w{k}")
+            same = same & F.col(k).eqNullSafe(F.col(f"_w{k}"))
+        return x.join(few, same).drop(*[f"_w{k}" for k in keys])
+
+    while (wanted.filter("_lo < _hi and _lo > double('-inf') and _hi < double('inf')").agg(F.max("_c")).first()[0] or 0) > most:
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        step = F.when(F.col("_lo") < F.col("_hi"), F.least(F.floor(share * (1 << bits)), F.lit((1 << bits) - 1))).otherwise(F.lit(0))
+        finer = inside().withColumn("_b", step).withColumnsRenamed({"_lo": "_from", "_c": "_was", "_before": "_base"})
+        wanted = held(finer.groupBy(*keys, "_from", "_base", "_n", "_b").agg(*count), [*keys, "_from"])
+    distinct = inside().groupBy(*keys, "_lo", "_before", "_n", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    begin = F.col("_before") + F.coalesce(F.sum("_k").over(W.partitionBy(*keys, "_lo").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    row = distinct.withColumn("_at", begin)
+    picks = [F.max(F.when((rank(F.col("_n")) >= F.col("_at")) & (rank(F.col("_n")) < F.col("_at") + F.col("_k")), F.col("_v"))).alias(name) for name, rank in ranks.items()]
+    return row.groupBy(*keys).agg(F.max("_n").alias("n"), *picks).drop("_g")
+
+
+def quantiles_bounded(cells: DataFrame, by: list[str], qs: dict[str, float], value: str = "value", most: int = 100_000) -> DataFrame:
+    """Exact quantiles with linear interpolation, in bounded memory, for groups of any size (see :func:`at_ranks`)."""
+    at = {name: (lambda n, q=q: F.lit(q) * (n - 1)) for name, q in qs.items()}
+    ranks = {}
+    for name, pos in at.items():
+        ranks[f"{name}_low"] = lambda n, pos=pos: F.floor(pos(n))
+        ranks[f"{name}_high"] = lambda n, pos=pos: F.ceil(pos(n))
+    got = at_ranks(cells, by, ranks, value, most)
+
+    def between(name: str) -> Column:
+        share, low, high = at[name](F.col("n")) - F.floor(at[name](F.col("n"))), F.col(f"{name}_low"), F.col(f"{name}_high")
+        return (low + F.when((share > 0) & (high > low), (high - low) * share).otherwise(0.0)).alias(name)
+
+    return got.select(*by, *map(between, qs))
 
-def quantiles_bounded(cells: DataFrame, by: list[str], qs: dict[str, float], value: str = "value", bits: int = 16) -> DataFrame:
-    """The same with bounded memory, for groups of any size.
 
-    A counting pass finds the cells of the ranks wanted, then only the values of
-    these cells are sorted. Cells are even on a scale that is linear up to about
-    the median size and logarithmic beyond, so that extreme outliers do not
-    crowd the rest into few cells.
-    """
-    x = cells.select(*by, F.col(value).cast("double").alias("_v")).filter("_v is not null")
-    half = x.groupBy(*by).agg((F.percentile_approx(F.abs("_v"), 0.5, 100) + F.lit(1e-300)).alias("_s"), F.count("_v").alias("_n"))
-    scaled = F.signum("_v") * F.log1p(F.abs("_v") / F.col("_s") * 16)
-    cell = F.floor(scaled * ((1 << bits) / 2048)).cast("long")
-    placed = x.join(half, by).withColumn("_b", cell) if by else x.join(half, F.lit(True)).withColumn("_b", cell)
-    counts = placed.groupBy(*by, "_b").agg(F.count("_v").alias("_c"), F.max("_n").alias("_n"))
-    upto = W.partitionBy(*by).orderBy("_b")
-    ranks = [F.floor(F.lit(q) * (F.col("_n") - 1)) + d for q in qs.values() for d in (0, 1)]
-    wanted = counts.withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
-    hit = None
-    for r in ranks:
-        inside = (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))
-        hit = inside if hit is None else hit | inside
-    near = placed.join(wanted.filter(hit).select(*by, "_b", "_before"), [*by, "_b"])
-    row = near.withColumn("_r", F.col("_before") + F.row_number().over(W.partitionBy(*by, "_b").orderBy("_v")) - 1)
-    out = []
-    for name, q in qs.items():
-        at = F.lit(q) * (F.col("_n") - 1)
-        low = F.max(F.when(F.col("_r") == F.floor(at), F.col("_v")))
-        high = F.max(F.when(F.col("_r") == F.floor(at) + 1, F.col("_v")))
-        share = F.max(at - F.floor(at))
-        out.append((low + F.when(share > 0, (high - low) * share).otherwise(0.0)).alias(name))
-    return row.groupBy(*by).agg(*out)
+def quantiles(cells: DataFrame, by: list[str], qs: dict[str, float], value: str = "value") -> DataFrame:
+    """Exact quantiles with linear interpolation."""
+    return quantiles_bounded(cells, by, qs, value)
 
 
 def not_finite(cells: DataFrame, by: list[str], value: str = "value") -> DataFrame:
@@ -144,11 +182,18 @@ def masked_error(rows: DataFrame, source: str, pred: str, actual: str, mask: Col
 
 
 def nearest_rank(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Mean and the values at index ``round((n - 1) q)``, half-even, of the sorted values."""
-    n = F.count(F.lit(1)).over(W.partitionBy(*by))
-    at = rows.filter(F.col(value).isNotNull()).withColumn("_n", n).withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(value)) - 1)
-    picks = [F.max(F.when(F.col("_i") == F.rint((F.col("_n") - 1) * q), F.col(value))).alias(k) for k, q in qs.items()]
-    return at.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"), *picks)
+    """Mean and the values at index ``round((n - 1) q)``, half-even, of the sorted values; null and NaN are left out."""
+    ranks = {k: (lambda n, q=q: F.rint((n - 1) * F.lit(q))) for k, q in qs.items()}
+    picked = at_ranks(rows, by, ranks, value)
+    mean = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by).agg(F.avg(value).alias("mean"))
+    if not by:
+        return picked.join(mean, F.lit(True)).select("mean", "n", *qs)
+    keyed = mean.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "mean")
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    kind = rows.schema[value].dataType
+    return picked.join(keyed, same).select(*by, "mean", "n", *[F.col(k).cast(kind).alias(k) for k in qs])
 
 
 def parity(rows: DataFrame, by: list[str], actual: str, reference: str) -> DataFrame:

@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinelake.operators.joins import asof
+from kinelake.session import cut
+
 MAX_HISTORY = 64
 
 
@@ -23,7 +26,10 @@ def n_steps(length_s: float, freq_hz: float) -> int:
 
 
 def native_stride(native_fps: float, freq_hz: float) -> int:
-    return max(1, round(native_fps / freq_hz)) if native_fps > 0 and freq_hz > 0 else 1
+    """Frames between samples; without a frequency every frame is one. A rate that is not positive raises."""
+    if not native_fps > 0:
+        raise ValueError(f"a dump at {native_fps} frames a second")
+    return max(1, round(native_fps / freq_hz)) if freq_hz > 0 else 1
 
 
 def delta_indices(length_s: float, freq_hz: float, native_fps: float, past: bool = False) -> list[int]:
@@ -106,42 +112,49 @@ def timed_history(frames: DataFrame, keys: list[str], fps: float, length: float,
     return want.join(frames.select(*keys, F.col("frame").alias("src"), *values), [*keys, "src"])
 
 
-def timestamp_history(obs: DataFrame, keys: list[str], ts: str, length: float, freq: float, values: list[str], tol: float = 1e-9) -> DataFrame:
+def timestamp_history(obs: DataFrame, keys: list[str], ts: str, length: float, freq: float, values: list[str], tol: float = 1e-9, block: float | None = None) -> DataFrame:
     """As-of history by time: (keys, now, k, valid, offset, values of the latest observation by each target).
 
     ``ts`` in seconds, distinct within keys. Targets and observations are
-    united and swept in order of time, so no pairs are made.
+    united and swept in order of time, so no pairs are made; in blocks of
+    ``block`` seconds (by default 4,096 sampling periods), so that no stream is
+    one task. A target before the first observation takes that one and is not valid.
     """
     offsets = F.array(*[F.struct(F.lit(i).cast("long").alias("k"), F.lit(o).alias("o")) for i, o in enumerate(history_offsets(length, freq))])
-    seen = F.struct(F.col(ts).alias("t"), *values)
-    first = F.first(seen).over(W.partitionBy(*keys).orderBy(ts).rowsBetween(W.unboundedPreceding, 0))
-    target = obs.select(*keys, first.alias("_first"), F.col(ts).alias("now"), F.explode(offsets).alias("_o"))
-    target = target.select(*keys, (F.col("now") + F.col("_o.o") + tol).alias("_at"), F.lit(1).alias("_want"), "now", F.col("_o.k").alias("k"), F.col("_o.o").alias("_o"), "_first", F.lit(None).cast(obs.select(seen.alias("s")).schema["s"].dataType).alias("_seen"))
-    rows = obs.select(*keys, F.col(ts).alias("_at"), F.lit(0).alias("_want"), F.lit(None).cast("double").alias("now"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("double").alias("_o"), F.lit(None).cast(target.schema["_seen"].dataType).alias("_first"), seen.alias("_seen"))
-    sweep = W.partitionBy(*keys).orderBy("_at", "_want").rowsBetween(W.unboundedPreceding, 0)
-    last = rows.unionByName(target).withColumn("_last", F.last("_seen", True).over(sweep)).filter("_want = 1")
-    got = F.coalesce("_last", "_first")
-    age = F.col("_o") - (got["t"] - F.col("now"))
-    return last.select(*keys, "now", "k", (F.col("_last").isNotNull() & (age <= F.lit(1 / freq + tol))).alias("valid"), (got["t"] - F.col("now")).alias("offset"), *[got[v].alias(v) for v in values])
+    target = obs.select(*keys, F.col(ts).alias("now"), F.explode(offsets).alias("_o"))
+    target = target.select(*keys, "now", F.col("_o.k").alias("k"), F.col("_o.o").alias("_o"), (F.col("now") + F.col("_o.o") + tol).alias("_target"))
+    seen = obs.select(*keys, F.col(ts).alias("_t"), *values)
+    got = asof(target, seen, keys, "_target", "_t", ["_t", *values], block=4096 / freq if block is None else block)
+    valid = (F.col("_t") <= F.col("_target")) & (F.col("_o") - (F.col("_t") - F.col("now")) <= F.lit(1 / freq + tol))
+    return got.select(*keys, "now", "k", valid.alias("valid"), (F.col("_t") - F.col("now")).alias("offset"), *values)
 
 
-def sample_index(episodes: DataFrame, order: list[str], size: str = "n") -> DataFrame:
-    """Adds ``start`` and ``stop`` of each episode in the index space of all samples.
+def running(rows: DataFrame, keys: list[str], order: list[str], size: str) -> DataFrame:
+    """Adds ``before``: the sum of ``size`` over the rows of the same keys that come before in ``order``.
 
-    Prefix sums in two levels: over ranges of the order (a row each), and inside.
+    Prefix sums in two levels: over ranges of (keys, order), a row each, and
+    inside; neither a large group nor the whole table is one task. Ties of the
+    order come in any order; null sizes count as 0.
     """
-    spark = episodes.sparkSession
+    spark = rows.sparkSession
     parts = spark.sparkContext.defaultParallelism * 4
-    ranged = episodes.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    from kinelake.session import cut
-
-    ranged = cut(ranged)  # ranges are sampled; the parts must be those of one run
-    sums = ranged.groupBy("_part").agg(F.sum(size).alias("_s"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_s").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")  # one row per part
-    inner = W.partitionBy("_part").orderBy(*order)
-    out = ranged.join(F.broadcast(base), "_part")  # as many rows as partitions
-    out = out.withColumn("stop", (F.col("_base") + F.sum(size).over(inner.rowsBetween(W.unboundedPreceding, 0))).cast("long"))
-    return out.withColumn("start", F.col("stop") - F.col(size)).drop("_part", "_base")
+    # ranges are sampled; the parts must be those of one run
+    ranged = cut(rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    n = F.coalesce(F.col(size), F.lit(0)).cast("long")
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum(n).alias("_s"))
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inner = W.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = ranged.withColumn("_inner", F.coalesce(F.sum(n).over(inner), F.lit(0))).join(base, same)
+    return out.withColumn("before", (F.col("_base") + F.col("_inner")).cast("long")).drop("_part", "_p", "_base", "_inner", *[f"_k{i}" for i in range(len(keys))])
+
+
+def sample_index(episodes: DataFrame, order: list[str], size: str = "n") -> DataFrame:
+    """Adds ``start`` and ``stop`` of each episode in the index space of all samples."""
+    return running(episodes, [], order, size).withColumnRenamed("before", "start").withColumn("stop", (F.col("start") + F.coalesce(F.col(size), F.lit(0))).cast("long"))
 
 
 def derived_actions(frames: DataFrame, keys: list[str], value: str, stride: int, mode: str = "abs", name: str = "action") -> DataFrame:

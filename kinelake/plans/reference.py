@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinelake.operators import batching, caches, geometry, joins, sampling, space, stats, temporal
+from kinelake.operators import batching, caches, flow, geometry, joins, sampling, space, stats, temporal
 from kinelake.session import table
 from kinelake.streaming import history, wire
 from kinelake.spec import ActionSlice, EMBODIMENT_IDS
@@ -737,24 +737,21 @@ NOISE = _uniform_sql("vec_id", "i")
 @query(f"""with {VECTORS}, c as (select vec_id, i, v[i + 1] as x, {NOISE} as e, (vec_id % 10) / 10.0 as t from vectors, generate_series(0, 63) g(i)) select vec_id, cast(i as bigint) as dim, round(t * e + (1 - t) * x, 6) as x_t, round(e - x, 6) as u_t from c""")
 def flow_xt(spark, d):
     c = vectors(spark, d).select("vec_id", F.posexplode("v").alias("dim", "x")).withColumn("dim", F.col("dim").cast("long")).withColumn("e", space.uniform("vec_id", "dim")).withColumn("t", (F.col("vec_id") % 10) / 10.0)
-    return c.select("vec_id", "dim", r6(F.col("t") * F.col("e") + (1 - F.col("t")) * F.col("x")).alias("x_t"), r6(F.col("e") - F.col("x")).alias("u_t"))
+    return c.select("vec_id", "dim", r6(flow.flow_point(F.col("x"), F.col("e"), F.col("t"))).alias("x_t"), r6(flow.flow_target(F.col("x"), F.col("e"))).alias("u_t"))
 
 
 @query(f"""with {VECTORS}, c as (select episode, vec_id, i, v[i + 1] as x, {NOISE} as e from vectors, generate_series(0, 63) g(i)) select episode, round(sum((e - x) ** 2) / count(*), 6) as loss, cast(count(*) as bigint) as count from c where i < 1 + vec_id % 64 group by episode""")
 def masked_flow_loss(spark, d):
     c = vectors(spark, d).select("episode", "vec_id", F.posexplode("v").alias("dim", "x")).withColumn("e", space.uniform("vec_id", "dim")).withColumn("pred", F.lit(0.0))
-    c = c.withColumn("u", F.col("e") - F.col("x"))
-    got = stats.masked_error(c, "episode", "pred", "u", F.col("dim") < 1 + F.col("vec_id") % 64).filter("episode is not null and count > 0")
+    got = flow.flow_loss(c, "episode", "pred", "x", "e", F.col("dim") < 1 + F.col("vec_id") % 64).filter("episode is not null and count > 0")
     return got.select("episode", r6("mse").alias("loss"), "count")
 
 
 @query("""with o as (select cast(k as bigint) as k, -k / 10.0 as o from generate_series(0, 31) g(k)), f as (select cast(i as bigint) as i, pow(10000.0, -i / 8.0) as f from generate_series(0, 7) g(i)) select k, i, round(sin(o * f), 6) as s, round(cos(o * f) - 1, 6) as c from o cross join f""")
 def time_features(spark, d):
     """Sine and cosine less one of relative times at eight frequencies."""
-    o = spark.range(32).select(F.col("id").alias("k"), (-F.col("id") / 10.0).alias("o"))
-    waves = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(10000.0 ** (-i / 8.0)).alias("f")) for i in range(8)])
-    x = o.select("k", "o", F.explode(waves).alias("w"))
-    return x.select("k", "w.i", r6(F.sin(F.col("o") * F.col("w.f"))).alias("s"), r6(F.cos(F.col("o") * F.col("w.f")) - 1).alias("c"))
+    o = spark.range(32).select(F.col("id").alias("k"), F.posexplode(flow.time_waves(-F.col("id") / 10.0, 8)).alias("i", "w"))
+    return o.select("k", F.col("i").cast("long").alias("i"), r6("w.s").alias("s"), r6("w.c").alias("c"))
 
 
 @query(f"""with {FRAMES} select episode, frame, cast(round_even(us % 100000000 / 1e6 * 25, 0) + frame as bigint) as src from frames""")
@@ -869,9 +866,10 @@ def legacy_online_history(spark, d):
 def prefix_select(spark, d):
     """Chunks whose first steps are taken from a prefix."""
     f = frames(spark, d)
-    own = f.select("episode", "frame", F.col("value").alias("prefix"))
-    chunk = temporal.gather(f, ["episode"], DELTAS, ["value"]).join(own, ["episode", "frame"])
-    return chunk.select("episode", "frame", "k", r6(F.when(F.col("k") < F.col("frame") % 4, F.col("prefix")).otherwise(F.col("value"))).alias("value"))
+    own = f.select("episode", "frame", F.array_repeat("value", 4).alias("prefix"))
+    got = temporal.gather(f, ["episode"], DELTAS, ["value"]).groupBy("episode", "frame").agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("c"))
+    chunk = got.join(own, ["episode", "frame"]).select("episode", "frame", flow.with_prefix(F.col("c.value"), F.col("prefix"), F.col("frame") % 4).alias("c"))
+    return chunk.select("episode", "frame", F.posexplode("c").alias("k", "value")).select("episode", "frame", F.col("k").cast("long").alias("k"), r6("value").alias("value"))
 
 
 # streams and wire

@@ -12,20 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def encode_array(a: np.ndarray) -> dict:
-    a = np.ascontiguousarray(a)
-    return {"dtype": a.dtype.str, "shape": list(a.shape), "data": base64.b64encode(a.tobytes()).decode()}
+def array_to_json(a: np.ndarray) -> dict:
+    """``dtype``, ``shape`` and base64 ``data`` of an array; the keys are the wire's format."""
+    whole = np.asarray(a, order="C")
+    return {"dtype": whole.dtype.str, "shape": [*whole.shape], "data": base64.b64encode(memoryview(whole).cast("B") if whole.size else b"").decode("ascii")}
 
 
-def decode_array(told: dict) -> np.ndarray:
-    a = np.frombuffer(base64.b64decode(told["data"]), np.dtype(told["dtype"]))
-    return a.reshape(told["shape"])
+def array_from_json(told: dict) -> np.ndarray:
+    """The array of such a mapping; without ``dtype`` float32, without ``shape`` flat."""
+    flat = np.frombuffer(base64.b64decode(told["data"]), told.get("dtype", "float32"))
+    return flat.reshape(told.get("shape", flat.shape))
 
 
 def encode(value):
     """A nested value with its arrays encoded."""
     if isinstance(value, np.ndarray):
-        return {"__array__": encode_array(value)}
+        return {"__array__": array_to_json(value)}
     if isinstance(value, dict):
         return {k: encode(v) for k, v in value.items()}
     if isinstance(value, (list, tuple)):
@@ -35,16 +37,16 @@ def encode(value):
 
 def decode(value):
     if isinstance(value, dict):
-        return decode_array(value["__array__"]) if set(value) == {"__array__"} else {k: decode(v) for k, v in value.items()}
+        return array_from_json(value["__array__"]) if set(value) == {"__array__"} else {k: decode(v) for k, v in value.items()}
     return [decode(v) for v in value] if isinstance(value, list) else value
 
 
 def _pack(v: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else json.dumps(encode_array(np.asarray(x, np.float32))) for x in v])
+    return pd.Series([None if x is None else json.dumps(array_to_json(np.asarray(x, np.float32))) for x in v])
 
 
 def _unpack(v: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else decode_array(json.loads(x)).ravel().tolist() for x in v])
+    return pd.Series([None if x is None else array_from_json(json.loads(x)).ravel().tolist() for x in v])
 
 
 def to_wire(column):

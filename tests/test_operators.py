@@ -65,6 +65,8 @@ def test_scaled_mask():
 def test_steps():
     assert [temporal.n_steps(*x) for x in [(1, 10), (0.25, 10), (0.35, 10), (0, 10)]] == [10, 2, 4, 1]
     assert [temporal.native_stride(*x) for x in [(15, 10), (25, 10), (30, 7), (5, 10)]] == [2, 2, 4, 1]
+    with pytest.raises(ValueError):
+        temporal.native_stride(0, 10)
     assert temporal.delta_indices(0.4, 10, 30, past=True) == [-9, -6, -3, 0]
     assert temporal.locked_frequency(stored_pose(), 10, None) == 10
     with pytest.raises(ValueError):
@@ -242,6 +244,46 @@ def test_quantiles_equal_numpy(spark, n):
     assert np.isclose(m[0].std, x[:, 0].astype(float).std()) and m[0]["count"] == n
 
 
+@pytest.mark.parametrize("most", [1, 40, 100_000])
+def test_ranks_in_finer_cells(spark, most):
+    """Ties, a null group, extreme and infinite values; cells are counted again until few values are left."""
+    r = np.random.default_rng(5)
+    groups = {None: r.normal(size=700), "ties": np.repeat([1.0, 2.0, 2.0, 2.0], 150), "narrow": 1e9 + r.random(500), "wild": np.concatenate([r.normal(size=300) * 10.0 ** r.integers(-300, 300, 300), [np.inf, -np.inf, 0.0, -0.0]]), "one": np.array([7.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("ties", None), ("ties", float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, value double")
+    got = {x.g: x for x in stats.quantiles_bounded(df, ["g"], {"q01": 0.01, "q50": 0.5, "q99": 0.99}, most=most).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert np.allclose([got[g].q01, got[g].q50, got[g].q99], np.quantile(vs, [0.01, 0.5, 0.99]), rtol=1e-9)
+    near = {x.g: x for x in stats.nearest_rank(df, ["g"], "value", {"p50": 0.5, "p95": 0.95}).collect()}
+    for g, vs in groups.items():
+        assert (near[g].p50, near[g].p95, near[g].n) == tuple(np.sort(vs)[[round((len(vs) - 1) * q) for q in (0.5, 0.95)]]) + (len(vs),)
+    whole = stats.quantiles(df.filter("g = 'ties'"), [], {"q": 0.5}).collect()
+    assert [x.q for x in whole] == [2.0] and stats.quantiles(df.limit(0), ["g"], {"q": 0.5}).count() == 0
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([("a" if i % 3 else None, i, i % 5 if i % 7 else None) for i in range(300)], "k string, i int, n int")
+    got = temporal.running(df, ["k"], ["i"], "n").collect()
+    for key in ("a", None):
+        total = 0
+        for x in sorted((x for x in got if x.k == key), key=lambda x: x.i):
+            assert x.before == total
+            total += x.n or 0
+    assert len(got) == 300
+
+
+def test_flow(spark):
+    from kinelake.operators import flow
+
+    df = spark.createDataFrame([([1.0, 2.0, 3.0], [9.0, 8.0], 5), ([1.0], [9.0], None), ([1.0], None, 1)], "c array<double>, p array<double>, n int")
+    assert [x.c for x in df.select(flow.with_prefix(F.col("c"), F.col("p"), F.col("n")).alias("c")).collect()] == [[9, 8, 3], [1], [1]]
+    got = spark.range(1).select(flow.normalized_prefix(F.array(F.array(F.lit(5.0), F.lit(3.0))), [0, 0], [10, 10], [True, False]).alias("a")).first()
+    assert np.allclose(got.a, [[0, 3]], atol=1e-5)
+    w = spark.range(1).select(flow.time_waves(F.lit(-0.5), 4).alias("w")).first().w
+    assert np.allclose([(x.s, x.c) for x in w], [(np.sin(-0.5 * 10000 ** (-i / 4)), np.cos(0.5 * 10000 ** (-i / 4)) - 1) for i in range(4)])
+
+
 def test_normalize_vectors_and_finite(spark):
     df = spark.createDataFrame([([0.0, 5.0],), ([10.0, 5.0],)], "v array<float>")
     s = spark.createDataFrame([("v", 0, 0.0, 10.0, 0.0, 10.0, 1), ("v", 1, 5.0, 5.0, 5.0, 5.0, 1)], "field string, dim long, q01 double, q99 double, min double, max double, quantile_fallback int")
@@ -368,6 +410,18 @@ def test_shards(spark, tmp_path):
         caches.require_fields(rows, {"f": ("float", 2)}).collect()
 
 
+def test_interrupted_shards(spark, tmp_path):
+    """Rows left without a marker are not there twice after the next run; a repeated id raises."""
+    rows = spark.range(3000).select(F.col("id").alias("row_id"))
+    path = str(tmp_path / "c")
+    caches.write_shards(rows, path, {})
+    (tmp_path / "c" / "done-1.json").unlink()
+    assert caches.write_shards(rows, path, {}) == 1
+    assert caches.read_shards(spark, path, {}).count() == 3000
+    with pytest.raises(ValueError):
+        caches.write_shards(rows.union(rows.limit(1)), str(tmp_path / "d"), {})
+
+
 def test_json_contract():
     assert json.loads(caches.canonical({"b": 1, "a": [1]})) == {"a": [1], "b": 1}
 

@@ -1,9 +1,12 @@
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kinelake.operators import temporal
 from kinelake.streaming import history, wire
 
 
@@ -35,6 +38,67 @@ def test_select_never_looks_ahead(ticks):
             assert offset <= 0 and v <= t
 
 
+def _one_by_one(rows, horizon, capacity, length, freq):
+    """Brute force: the rules applied row by row."""
+    items, context, out = [], None, []
+    offsets = temporal.history_offsets(length, freq)
+    for ts, value, ctx in sorted(rows, key=lambda r: r[0]):
+        cleared = bool(items) and ctx != context
+        kept = [] if cleared else items
+        if kept and ts < kept[-1][0]:
+            out.append((ts, "time fell"))
+            continue
+        kept = [x for x in kept if x[0] != ts] + [(ts, value)]
+        context, kept = ctx, kept[-capacity:]
+        old = [x for x in kept if x[0] <= ts - horizon]
+        items = old[-1:] + [x for x in kept if x[0] > ts - horizon]
+        for o in offsets:
+            upto = [x for x in items if x[0] - ts <= o + 1e-9]
+            got = upto[-1] if upto else items[0]
+            out.append((ts, bool(upto) and o - (got[0] - ts) <= 1 / freq + 1e-9, got[1], cleared))
+    return items, context, out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 12), st.sampled_from("cd")), max_size=12), min_size=1, max_size=4), st.integers(1, 5))
+def test_lines_equal_row_by_row(triggers, capacity):
+    """Equal times, falling times and changing contexts, over several triggers."""
+    kept, slow, serial = history.Line(np.zeros(0), np.zeros(0)), ([], None), 0
+    for trigger in triggers:
+        rows = [(t / 4, float(serial + i), c) for i, (t, c) in enumerate(trigger)]
+        serial += len(rows)
+        line, order, fault, cleared = history.extended(kept, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], 0.5, capacity)
+        got, at = [], len(line.times) - int((fault == "").sum())
+        for i, o in enumerate(order):
+            if fault[i]:
+                got.append((rows[o][0], fault[i]))
+                continue
+            valid, place = line.seen(np.array([at]), 0.5, 4.0)
+            got += [(rows[o][0], bool(v), line.values[p], bool(cleared[i])) for v, p in zip(valid[0], place[0])]
+            at += 1
+        items, context, want = _resumed(slow, rows, capacity)
+        assert got == want
+        kept, slow = line.trimmed(), (items, context)
+        assert list(zip(kept.times, kept.values)) == items
+
+
+def _resumed(state, rows, capacity):
+    """The row-by-row rules behind what was kept."""
+    items, context = state
+    out = []
+    for row in sorted(rows, key=lambda r: r[0]):
+        past = [(t, v, context) for t, v in items]
+        if past and row[2] == context and row[0] < past[-1][0]:
+            out.append((row[0], "time fell"))
+            continue
+        same = past if row[2] == context else []
+        items, _, told = _one_by_one([*same, row], 0.5, capacity, 0.5, 4.0)
+        told = told[-len(temporal.history_offsets(0.5, 4.0)) :]
+        out += [(*x[:3], bool(past) and not same) for x in told]
+        context = row[2]
+    return items, context, out
+
+
 def test_stream_in_batches(spark, tmp_path):
     schema = "stream string, ts double, value double, context string"
     parts = [[("a", 0.0, 1.0, "c"), ("a", 0.1, 2.0, "c"), ("b", 5.0, 9.0, None)], [("a", 0.2, 3.0, "c"), ("a", 0.05, 7.0, "c")], [("a", 0.3, 4.0, "d"), ("b", 5.0, 8.0, None)]]
@@ -51,6 +115,33 @@ def test_stream_in_batches(spark, tmp_path):
     assert {r.value for r in got if r.stream == "b" and r.k == 1} == {9.0, 8.0}
 
 
+def settle(q, rows):
+    """Waits for input; a query with timers runs on without any."""
+    until = time.time() + 40
+    while sum(p.numInputRows for p in q.recentProgress) < rows and time.time() < until and q.isActive:
+        time.sleep(0.2)
+
+
+def test_live_state_expires(spark, tmp_path):
+    schema = "stream string, ts double, value double, context string"
+    spark.createDataFrame([("a", 0.0, 1.0, "c")], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", history.ROCKS)
+    try:
+        q = history.live_history(stream, 0.2, 10.0, ttl_ms=300).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).start()
+        settle(q, 1)
+        time.sleep(1)
+        # an earlier time is no error any more
+        spark.createDataFrame([("a", -5.0, 2.0, "c")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        settle(q, 2)
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.now, r.error) for r in got} == {(0.0, None), (-5.0, None)}
+
+
 def test_event_time_windows(spark, tmp_path):
     df = spark.createDataFrame([("a", f"2025-01-01 00:0{i}:00", float(i)) for i in range(6)], "stream string, t string, value double").withColumn("ts", F.to_timestamp("t")).drop("t")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
