@@ -46,6 +46,48 @@ def test_sketch_rank_error_merge_and_deletion(kind):
         assert max(lo - q, q - hi) <= quantiles.RANK_ERROR
 
 
+def test_rank_errors_stay_in_their_bounds():
+    """Mixtures of smooth parts, tails, atoms and coarse values; each percentile within the bound that comes with it."""
+    r = np.random.default_rng(11)
+    hashed = 0
+    for _ in range(120):
+        n, k = int(r.integers(20_000, 200_000)), int(r.integers(1, 5))
+        parts = []
+        for share in r.dirichlet(np.ones(k)):
+            m, scale, at = max(1, int(share * n)), 10.0 ** r.uniform(-3, 3), r.normal() * 10.0 ** r.uniform(-2, 2)
+            made = [lambda: at + scale * r.normal(size=m), lambda: at + scale * r.standard_t(1.5, m), lambda: np.full(m, at), lambda: r.choice(at + scale * r.normal(size=50), m), lambda: np.sin(np.linspace(0, 90, m)) * scale]  # noqa: B023
+            parts.append(made[int(r.integers(5))]())
+        codes = np.sort(quantiles.encode(np.concatenate(parts).astype(np.float32)))
+        s = quantiles.Sketch()
+        s.add(*np.unique(codes, return_counts=True))
+        hashed += s.table is not None
+        for q in (0.01, 0.05, 0.5, 0.95, 0.99):
+            code = quantiles.encode(np.array([s.quantile(q)]))[0]
+            lo, hi = np.searchsorted(codes, code, "left") / len(codes), np.searchsorted(codes, code, "right") / len(codes)
+            assert max(lo - q, q - hi) <= s.rank_error() + 1 / len(codes)
+    assert hashed > 50
+
+
+def test_sketches_of_parts_add_up(spark):
+    """Sketches of parts, as a task hands them on when it holds too much, add up to the same."""
+    r = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, f"g{i % 3}", r.normal(size=4).tolist()) for i in range(3000)], "frame_id long, name string, v array<double>").coalesce(1)
+    whole = {(x.name, x.dim): x for x in quantiles.percentiles(quantiles.sketches(df, ["name"], ["v"]), {"p50": 0.5}).collect()}
+    a, b = (quantiles.sketches(p, ["name"], ["v"]) for p in (df.filter("frame_id < 1000"), df.filter("frame_id >= 1000")))
+    parts = {(x.name, x.dim): x for x in quantiles.percentiles(quantiles.merge(a.union(b), ["name", "vector", "dim"]), {"p50": 0.5}).collect()}
+    assert {k: (x.n, x.p50) for k, x in whole.items()} == {k: (x.n, x.p50) for k, x in parts.items()} and len(whole) == 12
+
+
+def test_repeated_ids_count_once(spark, monkeypatch):
+    """A broadcast of few repeated ids and an exchange of many give the same."""
+    rows = [(i, "a", [float(i)]) for i in range(50)] + [(3, "a", [3.0])] * 6 + [(None, "a", [1.0])] * 2
+    df = spark.createDataFrame(rows, "frame_id long, name string, v array<double>")
+    for few in (quantiles.FEW, 0):
+        monkeypatch.setattr(quantiles, "FEW", few)
+        got = quantiles.percentiles(quantiles.sketches(quantiles.once(df, "frame_id", ["name"], ["v"]), ["name"], ["v"], "weight"), {"p": 1.0, "m": 0.01}).collect()
+        assert [(x.n, x.m) for x in got] == [(52, 0.0)] and abs(got[0].p - 49) < 0.01
+
+
 def test_sketches_of_table(spark):
     rows = [(i, "a", [float(i), None], "x") for i in range(101)] + [(7, "a", [7.0, None], "x"), (500, "b", None, None), (501, None, [float("nan"), 2.0], None), (502, "b", [float("inf")], None)]
     df = spark.createDataFrame(rows, "frame_id long, name string, v array<double>, sketch string")
