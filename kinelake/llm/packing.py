@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinelake.session import written
+
 OUT = "piece long, n long, container string"
 
 
@@ -51,67 +53,81 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(a: np.ndarray, b: np.ndarray, room: int, least: int) -> tuple[int, tuple, tuple] | None:
+def _sums(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sums of two items of a bin, rising, and an example of each: places in ``sizes`` (sorted, rising).
+
+    A bin holds few distinct sizes (their sum is at most its capacity), so all
+    pairs of these are tried; a size that comes twice pairs with itself.
+    """
+    value, first, n = np.unique(sizes, return_index=True, return_counts=True)
+    i, j = np.triu_indices(len(value))
+    real = (i != j) | (n[i] > 1)
+    i, j = i[real], j[real]
+    total, at = np.unique(value[i] + value[j], return_index=True)
+    return total, first[i[at]], first[j[at]] + (i[at] == j[at])
+
+
+def _exchange(a: np.ndarray, b: np.ndarray, room: int, least: int = 1) -> tuple[int, tuple, tuple] | None:
     """The exchange that moves most size, ``least`` to ``room``, from b to a: (size, from b, from a).
 
-    Moves, one for one, two for one and one for two.
+    Moves, one for one, two for one and one for two; ``a`` and ``b`` are sorted,
+    rising, and all their items take part. What may be given for each taken
+    amount is found by binary search.
     """
     best: tuple[int, tuple, tuple] | None = None
-    twos_b = np.triu_indices(len(b), 1)
-    twos_a = np.triu_indices(len(a), 1)
-    pair_b, pair_a = b[twos_b[0]] + b[twos_b[1]], a[twos_a[0]] + a[twos_a[1]]
-    none = np.zeros(1, np.int64)
-    for give, take, kind in ((b, none, "1-0"), (b, a, "1-1"), (pair_b, a, "2-1"), (b, pair_a, "1-2")):
-        if not len(give) or not len(take):
+    none = (np.zeros(1, np.int64), (), ())
+    ones_b, ones_a = (np.unique(b, return_index=True), np.unique(a, return_index=True))
+    kinds = [(ones_b, none, 1, 0), (ones_b, ones_a, 1, 1), (None, ones_a, 2, 1), (ones_b, None, 1, 2)]
+    for give, take, n_give, n_take in kinds:
+        give, take = _sums(b) if give is None else give, _sums(a) if take is None else take
+        if not len(give[0]) or not len(take[0]):
             continue
-        gain = give[:, None] - take[None, :]
-        gain = np.where(gain <= room, gain, 0)
-        at = int(gain.argmax())
-        size = int(gain.flat[at])
+        at = np.searchsorted(give[0], take[0] + room, "right") - 1
+        gain = np.where(at >= 0, give[0][np.maximum(at, 0)] - take[0], 0)
+        j = int(gain.argmax())
+        size = int(gain[j])
         if size >= least and (best is None or size > best[0]):
-            i, j = divmod(at, len(take))
-            from_b = (twos_b[0][i], twos_b[1][i]) if kind == "2-1" else (i,)
-            from_a = () if kind == "1-0" else (twos_a[0][j], twos_a[1][j]) if kind == "1-2" else (j,)
-            best = (size, tuple(map(int, from_b)), tuple(map(int, from_a)))
+            i = int(at[j])
+            best = (size, tuple(int(x[i]) for x in give[1 : 1 + n_give]), tuple(int(x[j]) for x in take[1 : 1 + n_take]))
             if size == room:
                 break
     return best
 
 
-def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds: int = 8, most: int = 64) -> list[list[int]]:
+def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds: int | None = None) -> list[list[int]]:
     """Local search over underfull bins; every step raises the sum of squared fills.
 
-    In each round every underfull bin, fullest first, tries the emptiest bins.
-    ``most`` items of a bin take part in a step, the largest ones.
+    In each round every underfull bin, fullest first, takes from the emptier
+    bins, emptiest first, until it is full or none can give. Rounds end when
+    nothing moves, which comes as the sum of squares is bounded, or after
+    ``rounds`` if that is given.
     """
     fill = [int(sizes[b].sum()) for b in bins]
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         open_ = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (-fill[k], k))
+        items = {k: np.array(sorted(bins[k], key=lambda i: (sizes[i], i)), np.int64) for k in open_}
         changed = False
-        low = len(open_) - 1
         for up, k in enumerate(open_):
-            tries = 0
-            while low > up and tries < 12 and fill[k] < capacity:
-                j = open_[low - tries] if low - tries > up else None
-                if j is None:
+            for j in reversed(open_[up + 1 :]):
+                # a taken item may leave room for one that j could not give before
+                while 0 < fill[j] <= fill[k] < capacity:
+                    step = _exchange(sizes[items[k]], sizes[items[j]], capacity - fill[k])
+                    if step is None:
+                        break
+                    size, from_b, from_a = step
+                    give, take = items[j][list(from_b)], items[k][list(from_a)]
+                    for x, out, in_ in ((k, from_a, give), (j, from_b, take)):
+                        left = np.concatenate([np.delete(items[x], list(out)), in_])
+                        items[x] = left[np.lexsort((left, sizes[left]))]
+                    fill[k] += size
+                    fill[j] -= size
+                    changed = True
+                if fill[k] == capacity:
                     break
-                tries += 1
-                if not bins[j] or fill[j] > fill[k]:
-                    continue
-                bins[k].sort(key=lambda i: -sizes[i])
-                bins[j].sort(key=lambda i: -sizes[i])
-                step = _exchange(sizes[bins[k][:most]], sizes[bins[j][:most]], capacity - fill[k], 1)
-                if step is None:
-                    continue
-                size, from_b, from_a = step
-                give, take = [bins[j][i] for i in from_b], [bins[k][i] for i in from_a]
-                bins[k] = [i for i in bins[k] if i not in take] + give
-                bins[j] = [i for i in bins[j] if i not in give] + take
-                fill[k] += size
-                fill[j] -= size
-                changed = True
-            while low > up and not bins[open_[low]]:
-                low -= 1
+        for k, x in items.items():
+            bins[k] = x.tolist()
         if not changed:
             break
     return [b for b in bins if b]
@@ -164,14 +180,13 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
 
     shards = max(1, -(-total // shard_items))
     for r in range(rounds):
-        placed = rest.withColumn("_shard", F.pmod(F.xxhash64(F.lit(r), key, "piece"), F.lit(shards))).groupBy("_shard").applyInPandas(one_shard(f"r{r}"), schema)
+        # as many tasks as shards: ids and sizes are few bytes and much work, which would else be joined into few tasks
+        dealt = rest.withColumn("_shard", F.pmod(F.xxhash64(F.lit(r), key, "piece"), F.lit(shards))).repartition(shards, "_shard")
+        placed = dealt.groupBy("_shard").applyInPandas(one_shard(f"r{r}"), schema)
         if r == rounds - 1 or shards == 1:
             return done.unionByName(placed.drop("room")).select(key, "piece", "start", F.col("n").alias(size), "container")
         # read again below: what is full stays, what is not is packed anew
-        from kinelake.session import written
-
         placed = written(placed)
-        # a few percent of room in the container decides; most containers are full to the token
         open_ = (F.col("room") > 0) & (F.col("n") > 0)
         done = done.unionByName(placed.filter(~open_).drop("room"))
         rest = placed.filter(open_).select(key, "piece", "n")

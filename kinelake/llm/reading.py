@@ -32,6 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinelake.llm.tokens import spread
+from kinelake.session import written
+
 HASH = 1 << 16
 NGRAM = 4
 MIN_WORDS = 40
@@ -280,8 +283,11 @@ def reading_levels(documents: DataFrame, labels: DataFrame, min_words: int = MIN
                     p = m.calibrated(m.documents([split[i] for i in keep]))
                     yield pa.record_batch([ids.slice(a, 500).take(pa.array(keep)), pa.array(m.levels[p.argmax(1)].astype(np.int32)), *(pa.array(p[:, j]) for j in range(4)), pa.array(words[keep].astype(np.int32)), pa.array(np.array([len(split[i]) for i in keep], np.int32))], [c.split()[0] for c in schema.split(", ")])
 
-    from kinelake.llm.tokens import spread
-
-    # spread by id first: the same exchange serves to count repeated ids once
-    whole = spread(documents.select("doc_id", "text").filter("doc_id is not null and text is not null"), "doc_id").dropDuplicates(["doc_id"])
+    # repeated ids are found by the ids alone; only texts under these are shuffled to count once
+    whole = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    again = written(documents.select("doc_id").filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    if again.isEmpty():
+        whole = spread(whole)
+    else:
+        whole = spread(whole.join(again, "doc_id", "left_anti").unionByName(whole.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
     return whole.mapInArrow(run, schema)

@@ -172,5 +172,12 @@ def count(documents: DataFrame, path: str | None = None, text: str = "text", key
 
 
 def spread(df: DataFrame, *key: Column | str) -> DataFrame:
-    """Spread rows before costly work: over all cores, or in as many parts as the scan has if these are more."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism * 3, df.rdd.getNumPartitions()), *key)
+    """Spread rows before costly work over all cores, if the scan of files has fewer splits than there are cores.
+
+    A scan of at least as many files as cores is left as it is: large tables
+    are not shuffled.
+    """
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if splits >= cores and len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(max(cores * 3, splits), *key)

@@ -355,6 +355,31 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), 100).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_exchange_is_the_best(seed):
+    """Against all moves, one for one, two for one and one for two; many small items take part, too."""
+    r = np.random.default_rng(seed)
+    for _ in range(60):
+        a, b = (np.sort(r.integers(1, int(r.integers(2, 30)), int(r.integers(1, 90 if seed else 7)))) for _ in "ab")
+        room = int(r.integers(1, 40))
+        sums = lambda x: {int(x[i] + x[j]) for i in range(len(x)) for j in range(i)}
+        gains = {int(x - y) for gives, takes in (((b), (0, *a)), (sums(b), a), (b, sums(a))) for x in gives for y in takes}
+        most = max((g for g in gains if 0 < g <= room), default=0)
+        got = packing._exchange(a, b, room)
+        assert (got[0] if got else 0) == most
+        if got:
+            assert b[list(got[1])].sum() - a[list(got[2])].sum() == most and len(set(got[1])) == len(got[1]) and len(set(got[2])) == len(got[2])
+
+
+def test_small_items_fill_bins():
+    """A bin of more than 64 items gives its smallest; all emptier bins are tried."""
+    sizes = np.array([90] * 20 + [11] * 20 * 5 + [10] * 20)
+    bins = [[i] for i in range(20)] + [list(range(20 + 5 * k, 25 + 5 * k)) + [120 + k] for k in range(20)]
+    after = packing.improve(bins, sizes, 100)
+    assert sorted(i for b in after for i in b) == list(range(140))
+    assert sum(sizes[b].sum() == 100 for b in after) >= 20
+
+
 def test_local_search_only_raises_squares():
     r = np.random.default_rng(1)
     s = r.integers(20, 70, 300)
