@@ -90,4 +90,14 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinelake_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a frame that ``written`` returned, once nothing reads it any more."""
+    path = getattr(df, "_kinelake_path", None)
+    if path:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
