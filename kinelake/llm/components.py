@@ -23,24 +23,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.session import cut
+from kinelake.session import discard, written
 
 
-def components(edges: DataFrame, record: str = "record_id", key: str = "key", salts: int = 32) -> DataFrame:
+def components(edges: DataFrame, record: str = "record_id", key: str = "key", salts: int = 64) -> DataFrame:
     """(record, group_id): the smallest record of the component, for records that share a key.
 
     ``edges``: (record, key) rows; null records and keys link nothing, repeated
     rows count once. Records whose keys are theirs alone have no row. A key may
-    belong to any share of the rows: its minimum is taken by salt first, and
-    the join back splits it.
+    belong to any share of the rows: it is a star of ``salts`` stars, each row
+    linked to the smallest of its salt and these to the smallest of all.
     """
-    edges = edges.select(F.col(record).alias("r"), F.col(key).alias("k")).dropna().distinct()
-    # the key's smallest record stands for the key: a star instead of a clique
-    salted = edges.groupBy("k", F.pmod(F.xxhash64("r"), F.lit(salts)).alias("s")).agg(F.min("r").alias("m"), F.count(F.lit(1)).alias("n"))
-    heads = salted.groupBy("k").agg(F.min("m").alias("m"), F.sum("n").alias("n")).filter("n > 1").select("k", "m")
-    links = cut(edges.join(heads, "k").filter("r <> m").select("r", "m").distinct())
+    edges = edges.select(F.col(record).alias("r"), F.col(key).alias("k")).dropna().withColumn("s", F.pmod(F.xxhash64("r"), F.lit(salts)))
+    edges = written(edges)
+    salted = edges.groupBy("k", "s").agg(F.min("r").alias("c"), F.max("r").alias("z"))
+    heads = salted.groupBy("k").agg(F.min("c").alias("m"), F.max("z").alias("z")).filter("z > m").select("k", "m")
+    inner = edges.join(salted.filter("z > c").select("k", "s", "c"), ["k", "s"]).filter("r <> c").select("r", F.col("c").alias("m"))
+    outer = salted.join(heads, "k").filter("c <> m").select(F.col("c").alias("r"), "m")
+    links = written(inner.union(outer).distinct())
+    discard(edges)
     both = links.union(links.select("m", "r")).toDF("a", "b")
-    labels = cut(links.select("r").union(links.select("m")).distinct().select(F.col("r"), F.col("r").alias("l")))
+    labels = written(links.select("r").union(links.select("m")).distinct().select("r", F.col("r").alias("l")))
     while True:
         # smallest label among a record's neighbours
         seen = both.join(labels.withColumnRenamed("r", "b"), "b").groupBy("a").agg(F.min("l").alias("n"))
@@ -48,16 +51,32 @@ def components(edges: DataFrame, record: str = "record_id", key: str = "key", sa
         # the label's own label may be smaller still; it also learns from its followers
         lower = hooked.groupBy("l").agg(F.min("n").alias("n")).filter("n < l")
         told = lower.select(F.col("l").alias("r"), F.col("n").alias("t"))
-        step = hooked.join(told, "r", "left").select("r", F.col("l").alias("was"), F.least("n", "t").alias("l"))
-        step = cut(step)
+        step = written(hooked.join(told, "r", "left").select("r", F.col("l").alias("was"), F.least("n", "t").alias("l")))
         for _ in range(2):
-            step = step.alias("x").join(step.select(F.col("r").alias("l"), F.col("l").alias("j")), "l", "left").select("r", "was", F.least("l", "j").alias("l"))
-        step = cut(step)
+            jumped = written(_jump(step, salts))
+            discard(step)
+            step = jumped
+        moved = not step.filter("l <> was").isEmpty()
+        discard(labels)
         labels = step.select("r", "l")
-        if step.filter("l <> was").isEmpty():
+        labels._kinelake_path = step._kinelake_path
+        if not moved:
+            discard(links)
             return labels.select(F.col("r").alias(record), F.col("l").alias("group_id"))
 
 
+def _jump(step: DataFrame, salts: int) -> DataFrame:
+    """Each record with the label of its label.
+
+    Only labels that have another label are joined, and of a label that many
+    records have each salt is a key of its own.
+    """
+    used = step.groupBy("l").agg(F.lit(1).alias("_u"))
+    next_ = step.filter("l <> r").select(F.col("r").alias("l"), F.col("l").alias("j")).join(used, "l", "left_semi")
+    each = next_.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return step.withColumn("_s", F.pmod(F.xxhash64("r"), F.lit(salts)).cast("int")).join(each, ["l", "_s"], "left").select("r", "was", F.least("l", "j").alias("l"))
+
+
 def _anneal(size: np.ndarray, hist: np.ndarray, aim: np.ndarray, aims: np.ndarray, part: np.ndarray, seed: int, steps: int, heat: float) -> np.ndarray:
     """The best split of groups found; cost: squared deviations from the sizes and the label counts aimed at per split."""
     r = np.random.default_rng(seed)
@@ -132,12 +151,12 @@ def split(records: DataFrame, group: DataFrame, shares: dict[str, float], record
     want /= want.sum()
     base = records.select(record, (F.col(label) if label else F.lit("")).alias("_label")).filter(F.col(record).isNotNull())
     base = base.groupBy(record).agg(F.min(F.coalesce("_label", F.lit("\0"))).alias("_label"))
-    base = cut(base.join(group.select(record, "group_id"), record, "left").withColumn("group_id", F.coalesce("group_id", record)))
+    base = written(base.join(group.select(record, "group_id"), record, "left").withColumn("group_id", F.coalesce("group_id", record)))
     cls = F.pmod(F.xxhash64("_label"), F.lit(labels)).cast("int")
     # per group: (class, count) pairs; at most ``labels`` of them
     parts = base.groupBy("group_id", cls.alias("c")).agg(F.count(F.lit(1)).alias("n"))
     groups = parts.groupBy("group_id").agg(F.collect_list(F.struct("c", "n")).alias("h"), F.sum("n").alias("size"))
-    groups = cut(groups)
+    groups = written(groups)
     n = max(1, groups.count())
     shards = max(1, -(-n // shard_groups))
     schema = "group_id long, h array<struct<c:int,n:long>>, size long, part int"
@@ -168,7 +187,7 @@ def split(records: DataFrame, group: DataFrame, shares: dict[str, float], record
     main = F.array_max(F.transform("h", lambda x: F.struct(x["n"].alias("n"), x["c"].alias("c"))))["c"]
     u = (F.pmod(F.xxhash64(F.lit(seed), "group_id"), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
     start = F.least(F.size(F.filter(F.element_at(edges, main + 1), lambda x: x <= u)), F.lit(len(names) - 1))
-    state = cut(groups.join(F.broadcast(head.select("group_id")), "group_id", "left_anti").withColumn("part", start.cast("int")))
+    state = written(groups.join(F.broadcast(head.select("group_id")), "group_id", "left_anti").withColumn("part", start.cast("int")))
 
     for r in range(rounds if len(names) > 1 else 0):
         lack = whole * want[:, None] - held
@@ -187,7 +206,10 @@ def split(records: DataFrame, group: DataFrame, shares: dict[str, float], record
             return pdf[["group_id", "h", "size"]].assign(part=best.astype(np.int32))
 
         dealt = state.withColumn("_shard", F.pmod(F.xxhash64(F.lit(r), F.lit(seed), "group_id"), F.lit(shards)))
-        state = cut(dealt.groupBy("_shard").applyInPandas(run, schema))
+        # as many tasks as shards: groups are few bytes and much work
+        better = written(dealt.repartition(shards, "_shard").groupBy("_shard").applyInPandas(run, schema))
+        discard(state)
+        state = better
     state = state.select("group_id", "part").union(head)
     named = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("part") + 1)
     return base.join(state.select("group_id", named.alias("split")), "group_id").select(record, "group_id", "split")

@@ -6,11 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.functions.paths import resolve_path
 
+AT = r"^(.*)#\s*(-?\d+)\s*$"  # <path>#<episode_index>
 LINKS = "struct<parents:array<string>,derived:array<string>>"
 
 
@@ -61,12 +62,17 @@ def keys(episodes: DataFrame) -> DataFrame:
     JSON, null and blank parents, and paths that lead nowhere give no key.
     """
     links = F.pandas_udf(_links, LINKS)
-    rows = episodes.filter("record_id is not null").select("record_id", "path", "dataset_name", "episode_index", "extra_json").withColumn("links", links("extra_json"))
+    named = F.when(F.col("extra_json").rlike(r"parent_id|derived_from|\\u"), F.col("extra_json"))
+    rows = episodes.filter("record_id is not null").select("record_id", "path", "dataset_name", "episode_index", links(named).alias("links"))
     place = lambda path, ep: F.concat(F.lit("P|"), resolve_path(path, F.col("dataset_name")), F.lit("|"), F.coalesce(ep, F.lit("-")))
-    own = rows.select("record_id", place(F.col("path"), F.col("episode_index").cast("string")).alias("key"))
-    parent = rows.select("record_id", F.explode("links.parents").alias("p")).select("record_id", F.concat(F.lit("Q|"), "p").alias("key"))
-    source = rows.select("record_id", "dataset_name", F.explode("links.derived").alias("d"))
-    cut_at = F.regexp_extract("d", r"^(.*)#\s*(-?\d+)\s*$", 1)
-    index = F.regexp_extract("d", r"^(.*)#\s*(-?\d+)\s*$", 2)
-    origin = source.select("record_id", F.when(index != "", place(cut_at, index.cast("long").cast("string"))).otherwise(place(F.regexp_replace("d", "#[^#]*$", ""), F.lit(None).cast("string"))).alias("key"))
-    return own.union(parent).union(origin).filter("key is not null")
+
+    def origin(d: Column) -> Column:
+        index = F.regexp_extract(d, AT, 2)
+        told = place(F.regexp_extract(d, AT, 1), index.cast("long").cast("string"))
+        return F.when(index != "", told).otherwise(place(F.regexp_replace(d, "#[^#]*$", ""), F.lit(None).cast("string")))
+
+    own = F.array(place(F.col("path"), F.col("episode_index").cast("string")))
+    parents = F.transform("links.parents", lambda p: F.concat(F.lit("Q|"), p))
+    none = F.array().cast("array<string>")
+    found = F.concat(own, F.coalesce(parents, none), F.coalesce(F.transform("links.derived", origin), none))
+    return rows.select("record_id", F.explode(F.array_distinct(found)).alias("key")).filter("key is not null")
