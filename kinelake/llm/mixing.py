@@ -6,8 +6,9 @@ draws multinomial counts of the sources, the slots of a source are numbered
 over all shards, and slot ``j`` takes block ``perm(j mod blocks)`` of repeat
 ``j div blocks``, ``perm`` a pseudorandom permutation per source and repeat.
 Blocks are joined by index. The mix is as large as the source that is used up
-first allows at its share, less a margin for the draws; what a draw gives a
-source beyond its cap is left out.
+first allows at its share. Slots that the draws give a source beyond its cap
+(repeats times blocks) go to sources below theirs, in proportion to the room
+they have; none is left empty.
 
 Defined results: a repeated record id counts once; records without a positive
 size have no frames and are in no block; sources without frames or with weight
@@ -17,33 +18,29 @@ block of a source is shorter; no sources give no rows.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinelake.session import cut
+from kinelake.operators.temporal import running
+from kinelake.session import written
 
-BUCKETS = 256
+def sized(records: DataFrame, source: str, record: str, size: str) -> DataFrame:
+    """(source, record, size) of the records with frames, each id once."""
+    base = records.select(F.col(source).alias("source"), F.col(record).alias("record"), F.col(size).cast("long").alias("size"))
+    return base.filter("source is not null and record is not null and size > 0").groupBy("record").agg(F.min("source").alias("source"), F.max("size").alias("size")).select("source", "record", "size")
 
 
 def lines(records: DataFrame, source: str, record: str, size: str, seed: int) -> DataFrame:
     """(source, record, size, begin): where each record begins in its source's line.
 
-    Two-level prefix sums, over 256 hash ranges of a source and inside each, so
-    that no source is one task.
+    Prefix sums in two levels, over ranges of hashes and inside, so that no
+    source is one task.
     """
-    base = records.select(F.col(source).alias("source"), F.col(record).alias("record"), F.col(size).cast("long").alias("size"))
-    base = base.filter("source is not null and record is not null and size > 0").groupBy("record").agg(F.min("source").alias("source"), F.max("size").alias("size"))
-    base = base.withColumn("h", F.xxhash64(F.lit(seed), "record")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
-    sums = sums.withColumn("base", F.coalesce(F.sum("s").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
-    inside = W.partitionBy("source", "bucket").orderBy("h", "record").rowsBetween(W.unboundedPreceding, -1)
-    placed = base.join(sums, ["source", "bucket"]).withColumn("begin", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return placed.select("source", "record", "size", "begin")
+    base = sized(records, source, record, size).withColumn("h", F.xxhash64(F.lit(seed), "record"))
+    return running(base, ["source"], ["h", "record"], "size").select("source", "record", "size", F.col("before").alias("begin"))
 
 
 def blocks(line: DataFrame, length: int) -> DataFrame:
@@ -88,15 +85,25 @@ def plan(sources: pd.DataFrame, length: int, slots: int) -> tuple[pd.DataFrame,
     s["share"] = np.where(live, s["weight"], 0.0) / max(s.loc[live, "weight"].sum(), 1e-300)
     s["blocks"] = -(-s["frames"] // length)
     cap = (s["blocks"] * s["max_repeats"]).where(live, 0)
-    total = 0
-    if live.any():
-        # four deviations of the draw of the scarcest source stay below its cap
-        room = [(c + 8 - 4 * math.sqrt(c + 4)) / p if c > 32 else max(c * 0.5, 1) / p for c, p in zip(cap[live], s.loc[live, "share"])]
-        total = max(int(min(room)), 1)
+    # the largest number of slots at which no source's share is beyond its cap
+    total = max(1, int((cap[live] / s.loc[live, "share"]).min() + 1e-9)) if live.any() else 0
     s["cap"] = cap.astype("int64")
     return s, total
 
 
+def overflow(drawn: np.ndarray, cap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where slots beyond a source's cap go: (first number of each source's among all these, upper ends of the intervals
+    that sources take of them, number of such slots). They are shared out in proportion to the room that is left.
+    """
+    over, room = np.maximum(drawn - cap, 0), np.maximum(cap - drawn, 0)
+    total = int(over.sum())
+    share = [int(r) * total // max(int(room.sum()), 1) for r in room]
+    for i in np.argsort(-room, kind="stable"):  # what rounding leaves, to those with most room
+        extra = min(int(room[i]) - share[i], total - sum(share))
+        share[i] += extra
+    return np.cumsum(over) - over, np.cumsum(share), over
+
+
 def mix(records: DataFrame, sources: DataFrame, source: str, record: str, size: str, length: int = 64, slots: int = 256, seed: int = 11) -> DataFrame:
     """(shard, slot, source, repeat, record, frame_from, n_frames) of the mix.
 
@@ -104,7 +111,7 @@ def mix(records: DataFrame, sources: DataFrame, source: str, record: str, size:
     row of sums per source goes to the driver, nothing of the records.
     """
     spark = records.sparkSession
-    line = cut(lines(records, source, record, size, seed))
+    line = written(lines(records, source, record, size, seed))
     named = sources.groupBy("name").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
     frames = line.groupBy(F.col("source").alias("name")).agg(F.sum("size").alias("frames"))
     s, total = plan(named.join(frames, "name", "left").orderBy("name").toPandas(), length, slots)
@@ -123,7 +130,7 @@ def mix(records: DataFrame, sources: DataFrame, source: str, record: str, size:
 
     drawn = spark.range(shards).mapInPandas(draw, counts) if total else spark.createDataFrame([], counts)
     # numbers of a source's slots over all shards, again by two levels
-    drawn = cut(drawn.withColumn("bucket", F.floor(F.col("shard") / 4096)))
+    drawn = written(drawn.withColumn("bucket", F.floor(F.col("shard") / 4096)))
     outer = drawn.groupBy("source", "bucket").agg(F.sum("n").alias("s"))
     outer = outer.withColumn("base", F.coalesce(F.sum("s").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
     inner = W.partitionBy("source", "bucket").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
@@ -133,22 +140,29 @@ def mix(records: DataFrame, sources: DataFrame, source: str, record: str, size:
     each = numbered.select("shard", "source", "first", "slot0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     limits = {r.name: (int(r.blocks), int(r.cap)) for r in s.itertuples(index=False)}
     order = {n: i for i, n in enumerate(names)}
+    told = dict(drawn.groupBy("source").agg(F.sum("n")).collect())  # a row per source
+    got = np.array([told.get(n, 0) for n in names], np.int64)
+    size_of, cap_of = (np.array([limits[n][k] for n in names], np.int64) for k in (0, 1))
+    first_over, ends, _ = overflow(got, cap_of)
+    label = np.array(names, object)
 
     def place(parts):
         for pdf in parts:
-            n = np.array([limits[x][0] for x in pdf["source"]], np.int64)
-            cap = np.array([limits[x][1] for x in pdf["source"]], np.int64)
+            of = np.array([order[x] for x in pdf["source"]], np.int64)
             j = (pdf["first"] + pdf["k"]).to_numpy(np.int64)
-            ok = j < cap
-            pdf, n, j = pdf[ok], n[ok], j[ok]
-            if not len(pdf):
-                continue
+            over = np.flatnonzero(j >= cap_of[of])
+            if len(over):
+                number = first_over[of[over]] + j[over] - cap_of[of[over]]
+                to = np.searchsorted(ends, number, "right")
+                j[over] = got[to] + number - np.where(to > 0, ends[np.maximum(to - 1, 0)], 0)
+                of[over] = to
+            n = size_of[of]
             repeat = j // n
-            key = np.array([order[x] for x in pdf["source"]], np.int64) * 65537 + repeat * 31 + seed
+            key = of * 65537 + repeat * 31 + seed
             # slots of a shard are in pseudorandom order, too
             width = np.minimum(slots, total - pdf["shard"].to_numpy(np.int64) * slots)
             slot = permute((pdf["slot0"] + pdf["k"]).to_numpy(np.int64), width, pdf["shard"].to_numpy(np.int64) + seed)
-            yield pd.DataFrame({"shard": pdf["shard"], "slot": slot, "source": pdf["source"], "repeat": repeat, "block": permute(j % n, n, key)})
+            yield pd.DataFrame({"shard": pdf["shard"], "slot": slot, "source": label[of], "repeat": repeat, "block": permute(j % n, n, key)})
 
     placed = each.mapInPandas(place, "shard long, slot long, source string, repeat long, block long")
     return placed.join(blocks(line, length), ["source", "block"]).select("shard", "slot", "at", "source", "repeat", "record", "frame_from", "n_frames")

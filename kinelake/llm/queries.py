@@ -56,7 +56,7 @@ def p3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of the catalog's entries."""
     catalog = table(spark, sf_dir, "catalog_entries").select("name", "weight", "max_repeats")
-    seen = mixing.lines(_sized(spark, sf_dir), "dataset_name", "record_id", "n_frames", 0).groupBy(F.col("source").alias("name")).agg(F.sum("size").alias("frames"))
+    seen = mixing.sized(_sized(spark, sf_dir), "dataset_name", "record_id", "n_frames").groupBy(F.col("source").alias("name")).agg(F.sum("size").alias("frames"))
     return mixing.shares(p3_mix(spark, sf_dir).withColumnRenamed("dataset_name", "source"), catalog, seen)
 
 

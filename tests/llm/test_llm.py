@@ -136,6 +136,22 @@ def test_mix(spark):
 # nearest
 
 
+def test_slots_beyond_a_cap_go_elsewhere(spark):
+    """All slots are filled with distinct uses however small a source's cap is."""
+    r = np.random.default_rng(0)
+    for _ in range(200):
+        cap = r.integers(0, 30, 5)
+        drawn = r.multinomial(int(cap.sum() * r.random()), r.dirichlet(np.ones(5)))
+        first, ends, over = mixing.overflow(drawn, cap)
+        taken = np.diff(ends, prepend=0)
+        assert taken.sum() == over.sum() and (np.minimum(drawn, cap) + taken <= cap).all() and list(first) == list(np.cumsum(over) - over)
+    records = spark.createDataFrame([(i, "ab"[i % 2], 64 if i % 2 else 640) for i in range(60)], "id long, name string, n long")
+    catalog = spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 1), ("c", 1.0, 3)], "name string, weight double, max_repeats int")
+    got = mixing.mix(records, catalog, "name", "id", "n", slots=16).toPandas()
+    assert len(got.groupby(["shard", "slot"])) == 60 == len(got)  # 30 blocks of b are the scarce ones
+    assert not got.duplicated(["source", "repeat", "record", "frame_from"]).any() and (got.repeat == 0).all()
+
+
 def test_nearest(spark):
     r = random.Random(2)
     keys = [("e1", 0.5), ("e2", 0.01), ("hot", 0.2)]
