@@ -190,6 +190,20 @@ def union_find(edges):
     return {a: min(g) for g in groups.values() if len(g) > 1 for a in g}
 
 
+def test_nearest_of_one_dense_entity(spark):
+    """Only the dense entity gets finer buckets; all matches are those of brute force."""
+    r = np.random.default_rng(8)
+    right = [("x", float(t), 1.0, i) for i, t in enumerate(np.sort(r.random(3000)) * 4)] + [("y", float(t), 0.5, 10_000 + i) for i, t in enumerate(range(40))]
+    left = [("x", float(t), 1.0, i) for i, t in enumerate(r.random(80) * 6 - 1)] + [("y", float(t), 0.5, 100 + i) for i, t in enumerate(r.random(80) * 44 - 2)]
+    a, b = (spark.createDataFrame(x, f"k string, t double, tol double, {n} long") for x, n in ((left, "l"), (right, "i")))
+    levels, finest = nearest._levels(b, ["k"], "t", "tol", 2, 8)
+    assert [(x.k, x._level) for x in levels.collect()] == [("x", finest)] and finest > 5
+    got = {x.l: (x.i, x.distance) for x in nearest.nearest(a, b, ["k"], "l", "i", most=8).collect()}
+    for k, t, tol, i in left:
+        d, _, j = min((abs(t - x[1]), x[1], x[3]) for x in right if x[0] == k)
+        assert got.get(i) == ((j, d) if d <= tol else None)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     r = random.Random(seed)
