@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinelake.operators import archive, spikes
-from kinelake.session import table
+from kinelake.session import scratch, table
 
 
 def bounds_of(spark: SparkSession, sf_dir: str) -> tuple[dict, dict]:
@@ -44,7 +45,18 @@ def p5_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.layout(archive.frame_index(table(spark, sf_dir, "cache_files")))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_layout": p5_layout}
+def p5_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a small file: packed into containers, read back and held against the original, by source."""
+    docs = table(spark, sf_dir, "documents").select("source", F.concat(F.lit("/documents/"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    folder = scratch(spark)
+    archive.write_manifest(archive.pack_files(docs, folder, 8 << 20), folder)
+    back = archive.read_entries(archive.read_manifest(spark, folder), folder)
+    told = docs.select("source", "path", F.length("content").cast("long").alias("n"), F.sha2("content", 256).alias("a"))
+    both = told.join(back.select("path", F.sha2("content", 256).alias("b")), "path", "left")
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("bytes"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_layout": p5_layout, "p5_packed": p5_packed}
 
 def resolved_sql(path: str, dataset: str) -> str:
     """SQL of the place a path leads to; parent folders are taken back up to four times."""
@@ -59,6 +71,7 @@ def resolved_sql(path: str, dataset: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "p5_packed": "select source, count(*) as files, cast(sum(coalesce(octet_length(encode(text)), 0)) as bigint) as bytes, count(*) as same from documents group by source",
     "p5_found": f"""with f as (select file_id, {resolved_sql("min(path)", "min(dataset_name)")} as p, min(trajectory_id) as t, regexp_replace(trim(min(video_key)), '^(observation[.]images[.]|images?[.])', '') as c, min(first_frame) as lo, min(first_frame) + min(num_frames) - 1 as hi
       from cache_files group by file_id having min(num_frames) > 0)
     select a.file_id as file_id_a, b.file_id as file_id_b from f a join f b on a.p = b.p and a.t = b.t and a.c = b.c and a.file_id < b.file_id and a.lo <= b.hi and b.lo <= a.hi""",

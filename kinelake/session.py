@@ -77,15 +77,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The name of a new folder in the shared folder, removed when Spark ends."""
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
     The table lives as long as the session: it is removed when Spark ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    path = scratch(spark)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

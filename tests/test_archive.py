@@ -65,6 +65,16 @@ def test_shared_frames_and_layout(spark):
     assert len(seen) == len(set(seen)) and set(seen) == want
 
 
+def test_layout_keeps_payloads_whole(spark):
+    """Trimmed entries have the length and digest of the original; skip and range find each frame in it."""
+    rows = [(1, "d", "/l/a", 0, "c", 0, 10, 1000, "d1"), (2, "d", "/l/a", 0, "c", 6, 10, 700, "d2"), (3, "d", "/l/a", 0, "c", 2, 3, 99, "d3"), (4, "d", "/l/a", 0, "c", 30, 2, None, None)]
+    got = {x.file_id: x for x in archive.layout(archive.frame_index(spark.createDataFrame(rows, FILES)), target=10_000).collect()}
+    assert set(got) == {1, 2, 4}
+    assert (got[2].frame_from, got[2].frame_to, got[2].skip, got[2].length, got[2].checksum) == (10, 15, 4, 700, "d2")
+    assert (got[1].skip, got[1].length, got[4].length) == (0, 1000, None)
+    assert sorted(x.offset for x in got.values()) == [0, 1000, 1700]
+
+
 def test_shared_frames_empty(spark):
     index = archive.frame_index(spark.createDataFrame([], FILES))
     assert archive.shared_frames(index).count() == 0 and archive.layout(index).count() == 0
@@ -80,3 +90,30 @@ def test_pack_round_trip(spark, tmp_path):
     back = {r.path: bytes(r.content) for r in archive.read_entries(index, str(tmp_path)).collect()}
     assert back == files
     assert 1 < index.select("container").distinct().count() < 20
+
+
+def test_containers_verify(spark, tmp_path):
+    """A container that grew past its target rolls over; damage, missing manifests and two files under a path raise."""
+    folder = tmp_path / "packed"
+    files = [(f"/f/{i}", bytes([i]) * 400) for i in range(20)] + [("/empty", None), (None, b"x")]
+    df = spark.createDataFrame(files, "path string, content binary")
+    told = archive.write_manifest(archive.pack_files(df, str(folder), target=1000, lanes=1), str(folder))
+    assert told == {"entries": 21, "containers": 7, "bytes": 8000}
+    index = archive.read_manifest(spark, str(folder))
+    assert index.groupBy("container").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] < 1400
+    assert archive.read_entries(index, str(folder)).count() == 21
+    one = next(p for p in folder.iterdir() if p.name.startswith("c"))
+    raw = one.read_bytes()
+    one.write_bytes(b"!" + raw[1:])
+    with pytest.raises(Exception, match="differ from the index"):
+        archive.read_entries(index, str(folder)).collect()
+    one.write_bytes(raw[:-1])
+    with pytest.raises(ValueError):
+        archive.read_manifest(spark, str(folder))
+    with pytest.raises(ValueError):
+        archive.read_manifest(spark, str(tmp_path))
+    twice = spark.createDataFrame([("/a", b"1"), ("/a", b"2")], "path string, content binary")
+    with pytest.raises(Exception, match="different files"):
+        archive.pack_files(twice, str(tmp_path / "two")).collect()
+    assert archive.write_manifest(archive.pack_files(df.limit(0), str(tmp_path / "none")), str(tmp_path / "none"))["entries"] == 0
+    assert archive.read_entries(archive.read_manifest(spark, str(tmp_path / "none")), str(tmp_path / "none")).count() == 0
