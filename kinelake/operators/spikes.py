@@ -1,17 +1,21 @@
 """Implausible readings in sensor vectors.
 
-Wavelet view of each series (one dimension of one episode): the finest detail
-coefficients are the frame-to-frame differences, the details of a lifting
-scheme are what a reading departs from its prediction by the readings before
-and after it: the line between them, or, for smooth motion, both sides' lines
-carried on. Per source, vector and dimension log-scaled histograms of the
-details give robust scales; departures are held against them, runs of zero
-detail are readings that stand still, and bounds find what cannot be.
+Each series (one dimension of one episode) has an undecimated decomposition by
+lifting: at level 1 to 3 the detail of a window of so many readings is the least
+that one of them departs from its prediction by the readings on both sides, with
+two predictors: the line between the two nearest, and, for smooth motion, both
+sides' lines carried on, from four. The frame-to-frame differences are level 0.
+Per source, vector, dimension, level and predictor a log-scaled histogram over
+all data gives the scale of ordinary details: their median and 90th percentile,
+made deviations of a normal distribution, of which the larger counts; neither
+moves by cases that are fewer than a tenth. Details far beyond their scale are
+departures, runs of zero detail are readings that stand still, and bounds find
+what cannot be.
 
 Defined results: null, NaN and cut-off readings are never reported and are
 skipped by the series; a frame repeated under its id counts once; a frame
-without id is ignored; one without a frame index is only held against the
-bounds; sources without bounds have no case (a); empty tables give no rows.
+without id is ignored; one without repo, episode or frame index is only held
+against the bounds; sources without bounds have no case (a); empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,18 +33,17 @@ from kinelake.functions.vectors import matrix
 
 VECTORS = ("state", "action")
 ZERO_BIN = -32768
-SMOOTH = 1 << 12  # added to a dimension's number for its details that allow for motion
-RUNS = 2 << 12  # and for the lengths of its runs of zero detail
+LEVELS = (1, 2, 3)  # readings in a window
+KIND = 1 << 12  # times a kind of histogram, added to a dimension's number
+LINE, CARRIED, RUNS = 0, 3, 7  # kinds: 0 differences, 1 to 3 and 4 to 6 the levels by either predictor, lengths of runs of zero detail
 
 
 @dataclass(frozen=True)
 class SpikeRule:
-    """``tail``, ``broad``: a departure is beyond so many times the source's 99th
-    percentile of non-zero details, or the 95th where spikes are so many that
-    they lift the 99th. ``smooth``, ``pace``, ``agree``: so is one beyond so many
-    times the 95th percentile of details that allow for motion and so many times
-    the median change, where both sides' predictions differ by no more than that
-    share of it. ``still``: a detail within that share of the median one
+    """``far``: a detail beyond so many deviations of its level's ordinary ones is a
+    departure; ``carried``: by the four-point predictor, where both sides'
+    predictions differ by no more than ``agree`` of the departure and no side's
+    slope is beyond ``steep`` deviations of the differences. ``still``: a detail within that share of the median one
     is a trace. ``chance``: a run is stuck if ordinary still frames would make
     one as long less often than this; ``min_run`` frames at least. ``moves``: a
     dimension moves if no larger share of its details is still. ``coarse``: one
@@ -50,11 +54,10 @@ class SpikeRule:
     so many frames of their neighbours.
     """
 
-    tail: float = 1.9
-    broad: float = 3.2
-    smooth: float = 4.2
-    pace: float = 4.4
+    far: float = 17.0
+    carried: float = 17.0
     agree: float = 0.6
+    steep: float = 5.0
     still: float = 0.03
     chance: float = 1e-4
     min_run: int = 8
@@ -70,7 +73,8 @@ class SpikeRule:
 
 def blocks(frames: DataFrame, rule: SpikeRule) -> DataFrame:
     """Frames by block of their episode, in order; halo rows are not ``core``."""
-    at = F.floor(F.col("frame_index") / rule.block)
+    placed = F.col("frame_index").isNotNull() & F.col("repo_index").isNotNull() & F.col("episode_index").isNotNull()
+    at = F.floor(F.when(placed, F.col("frame_index")) / rule.block)
     inside = F.pmod(F.col("frame_index"), F.lit(rule.block))
     near = F.array_compact(
         F.array(
@@ -79,11 +83,13 @@ def blocks(frames: DataFrame, rule: SpikeRule) -> DataFrame:
             F.when(inside >= rule.block - rule.halo, at + 1),
         )
     )
+    # frames without a place are spread by id and looked at one by one
+    alone = F.lit(-1).cast("long") - F.pmod(F.xxhash64("frame_id"), F.lit(1 << 20))
     keyed = (
         frames.filter("frame_id is not null")
         .select("frame_id", "dataset_name", "repo_index", "episode_index", "frame_index", *VECTORS)
-        .withColumn("block", F.explode(F.when(F.col("frame_index").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(near)))
-        .withColumn("core", F.col("block") == F.coalesce(at, F.lit(-1)))
+        .withColumn("block", F.explode(F.when(placed, near).otherwise(F.array(alone))))
+        .withColumn("core", F.col("block") == F.coalesce(at, alone))
     )
     keys = ["repo_index", "episode_index", "block"]
     return keyed.repartition(*keys).sortWithinPartitions("dataset_name", *keys, "frame_index", "frame_id")
@@ -171,38 +177,46 @@ class Series:
             apart = np.maximum(apart, np.abs(one - two))
         return least, apart
 
+    def line(self, a: np.ndarray, width: int) -> np.ndarray:
+        """Least departure in each window from the line between the readings on both sides."""
+        before, after = self.v[a - 1], self.v[a + width]
+        least = np.full(len(a), np.inf)
+        for j in range(width):
+            least = np.minimum(least, np.abs(self.v[a + j] - (before + (after - before) * (j + 1) / (width + 1))))
+        return least
+
     def histogram(self, core: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Dimension, bin and number of the finest and the motion details of core rows, and of the lengths of zero runs."""
+        """Dimension (with its kind), bin and number of the details of core rows, and of the lengths of zero runs."""
         use = self.same & core[self.at[1:]]
-        a = self.windows(1)
-        a = a[core[self.at[a]]]
-        d, of = np.concatenate([self.detail[use], self.carried(a, 1)[0]]), np.concatenate([self.of[1:][use], self.of[a] + SMOOTH])
+        details, of = [self.detail[use]], [self.of[1:][use]]
+        for width in LEVELS:
+            a = self.windows(width)
+            a = a[core[self.at[a]]]
+            details += [self.line(a, width), self.carried(a, width)[0]]
+            of += [self.of[a] + (LINE + width) * KIND, self.of[a] + (CARRIED + width) * KIND]
+        d, of = np.concatenate(details), np.concatenate(of)
         code = np.full(len(d), ZERO_BIN, np.int64)
         moved = d > 1e-9
         code[moved] = np.floor(np.log2(d[moved]) * bins).astype(np.int64)
         edges = np.diff(np.concatenate([[0], (self.same & (self.detail <= 1e-9)).astype(np.int8), [0]]))
         begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         mine = core[self.at[begin]] if len(begin) else np.zeros(0, bool)
-        of = np.concatenate([of, self.of[begin[mine]] + RUNS])
+        of = np.concatenate([of, self.of[begin[mine]] + RUNS * KIND])
         code = np.concatenate([code, np.minimum(end - begin + 1, 100)[mine]])
         unique, n = np.unique(of * 65536 + code + 32768, return_counts=True)
         return unique // 65536, unique % 65536 - 32768, n
 
     def departures(self, limit: np.ndarray, motion: np.ndarray, steepest: np.ndarray, agree: float) -> np.ndarray:
-        """Readings of departures of one to three frames beyond ``limit`` from the line, or ``motion`` from carried lines."""
+        """Readings of departures of one to three frames: details beyond ``limit`` (levels x dimensions) from the line, or ``motion`` from carried lines."""
         found = np.zeros(len(self.v), bool)
-        for width in (1, 2, 3):
+        for level, width in enumerate(LEVELS):
             a = self.windows(width)
             if not len(a):
                 continue
             least, apart = self.carried(a, width, steepest)
-            moved = (least > motion[self.of[a]]) & (apart <= agree * least)
-            before, after = self.v[a - 1], self.v[a + width]
-            least = np.full(len(a), np.inf)
-            for j in range(width):
-                line = before + (after - before) * (j + 1) / (width + 1)
-                least = np.minimum(least, np.abs(self.v[a + j] - line))
-            a = a[moved | (least > limit[self.of[a]]) & (least >= np.abs(after - before))]
+            moved = (least > motion[level][self.of[a]]) & (apart <= agree * least)
+            least = self.line(a, width)
+            a = a[moved | (least > limit[level][self.of[a]]) & (least >= np.abs(self.v[a + width] - self.v[a - 1]))]
             for j in range(width):
                 found[a + j] = True
         return found
@@ -249,7 +263,7 @@ def _tables(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str | None, pa.
             change[1:] |= codes[1:] != codes[:-1]
         group = np.cumsum(change)
         frame = np.asarray(t.column("frame_id").combine_chunks())
-        loose = np.asarray(t.column("frame_index").combine_chunks().is_null())
+        loose = np.asarray(t.column("block").combine_chunks()) < 0
         once = np.ones(len(frame), bool)
         once[1:] = (frame[1:] != frame[:-1]) | change[1:]
         group = np.where(loose, group.max(initial=0) + 1 + np.arange(len(group)), group)
@@ -284,45 +298,70 @@ def detail_histogram(frames: DataFrame, bounds: Bounds, rule: SpikeRule) -> Data
     return partial.groupBy("dataset_name", "vector", "dim", "bin").agg(F.sum("n").alias("n"))
 
 
+def deviation(rows: list[tuple[int, int]], bins: int, least: int) -> float:
+    """The deviation of ordinary non-zero details, by (bin, number): from their median or their 90th percentile, whichever tells more."""
+    rows = sorted(r for r in rows if r[0] != ZERO_BIN)
+    upto = np.cumsum([n for _, n in rows])
+    if not len(upto) or upto[-1] < least:
+        return np.inf
+    at = lambda q: 2 ** ((rows[int(np.searchsorted(upto, q * upto[-1]))][0] + 0.5) / bins)
+    return max(at(0.5) / 0.6745, at(0.9) / 1.6449)
+
+
 def scales(histogram, rule: SpikeRule) -> dict[tuple[str | None, str], dict[str, np.ndarray]]:
     """Per source and vector, by dimension: limits of departures, ``trace`` and ``need`` of stuck runs.
 
-    ``histogram``: rows of :func:`detail_histogram`, a few hundred bins per dimension.
+    ``histogram``: rows of :func:`detail_histogram`, a few hundred bins per dimension and kind.
     """
     grouped: dict[tuple, dict[int, list]] = {}
     for name, vector, dim, bin_, n in histogram:
         grouped.setdefault((name, vector), {}).setdefault(dim, []).append((bin_, n))
     out = {}
     for key, dims in grouped.items():
-        width = max(d % SMOOTH for d in dims) + 1
-        limit, trace, need = np.full(width, np.inf), np.full(width, -1.0), np.full(width, 2**40)
-        motion, steepest = np.full(width, np.inf), np.full(width, np.inf)
+        width = max(d % KIND for d in dims) + 1
+        limit, motion = np.full((len(LEVELS), width), np.inf), np.full((len(LEVELS), width), np.inf)
+        trace, need, steepest = np.full(width, -1.0), np.full(width, 2**40), np.full(width, np.inf)
         for dim in range(width):
             rows = sorted(dims.get(dim, ()))
-            at = np.array([r[0] for r in rows if r[0] != ZERO_BIN], float)
             n = np.array([r[1] for r in rows if r[0] != ZERO_BIN], float)
+            at = np.array([r[0] for r in rows if r[0] != ZERO_BIN], float)
             total, moved = sum(r[1] for r in rows), n.sum()
             if moved < rule.least:
                 continue
-            share = np.cumsum(n) / moved
-            quantile = lambda q: 2 ** ((at[np.searchsorted(share, q)] + 0.5) / rule.bins)  # noqa: B023, E731
-            limit[dim], tol = min(rule.tail * quantile(0.99), rule.broad * quantile(0.95)), rule.still * quantile(0.5)
-            smooth = sorted(dims.get(dim + SMOOTH, ()))
-            if smooth:
-                upto = np.cumsum([n for _, n in smooth])
-                edge = smooth[int(np.searchsorted(upto, 0.95 * upto[-1]))][0]
-                q95 = 0.0 if edge == ZERO_BIN else 2 ** ((edge + 0.5) / rule.bins)
-                motion[dim], steepest[dim] = max(rule.smooth * q95, rule.pace * quantile(0.5)), 1.5 * quantile(0.99)
+            for level, readings in enumerate(LEVELS):
+                limit[level, dim] = rule.far * deviation(dims.get(dim + (LINE + readings) * KIND, []), rule.bins, rule.least)
+                motion[level, dim] = rule.carried * deviation(dims.get(dim + (CARRIED + readings) * KIND, []), rule.bins, rule.least)
+            steepest[dim] = rule.steep * deviation(rows, rule.bins, rule.least)
+            tol = rule.still * 2 ** ((at[np.searchsorted(np.cumsum(n) / moved, 0.5)] + 0.5) / rule.bins)
             p = (total - moved + n[2 ** ((at + 1) / rule.bins) <= tol].sum()) / total
             if p <= rule.moves:
                 trace[dim] = tol
                 need[dim] = rule.min_run if p <= 0 else max(rule.min_run, 1 + int(np.ceil(np.log(rule.chance) / np.log(p))))
                 if p > rule.coarse:
-                    need[dim] = max(need[dim], natural_run(dict(dims.get(dim + RUNS, ())), rule.ordinary))
+                    need[dim] = max(need[dim], natural_run(dict(dims.get(dim + RUNS * KIND, ())), rule.ordinary))
         out[key] = {"limit": limit, "motion": motion, "steepest": steepest, "trace": trace, "need": need}
     return out
 
 
+def source_scales(histogram: DataFrame, rule: SpikeRule) -> dict[tuple[str | None, str], dict[str, np.ndarray]]:
+    """:func:`scales` of all sources, made where their histograms are: a row of about ten numbers per dimension comes to the driver."""
+    names = ["limit", "motion", "trace", "need", "steepest"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, vector = pdf["dataset_name"].iloc[0], pdf["vector"].iloc[0]
+        got = scales([(name, vector, *r) for r in zip(pdf["dim"].tolist(), pdf["bin"].tolist(), pdf["n"].tolist())], rule)
+        found = got[name, vector]
+        return pd.DataFrame({"dataset_name": [name], "vector": [vector], **{k: [found[k].astype(float).ravel()] for k in names}})
+
+    schema = "dataset_name string, vector string, " + ", ".join(f"{k} array<double>" for k in names)
+    out = {}
+    for r in histogram.groupBy("dataset_name", "vector").applyInPandas(one, schema).collect():
+        told = {k: np.array(r[k], float) for k in names}
+        width = len(told["trace"])
+        out[r["dataset_name"], r["vector"]] = told | {k: told[k].reshape(-1, width) for k in ("limit", "motion")} | {"need": told["need"].astype(np.int64)}
+    return out
+
+
 def natural_run(lengths: dict[int, int], share: float) -> int:
     """The length from which runs of a coarse dimension are stuck rather than ordinary.
 
@@ -344,6 +383,12 @@ def natural_run(lengths: dict[int, int], share: float) -> int:
     return 2**40
 
 
+def _widened(x: np.ndarray, width: int, fill: float) -> np.ndarray:
+    """The last axis at ``width``, cut or filled."""
+    more = np.full((*x.shape[:-1], max(0, width - x.shape[-1])), fill, x.dtype)
+    return np.concatenate([x, more], axis=-1)[..., :width]
+
+
 def find_spikes(frames: DataFrame, bounds: Bounds, held: dict[tuple[str | None, str], set[int]] | None = None, rule: SpikeRule = SpikeRule()) -> DataFrame:
     """(frame_id, vector, dim) of every implausible reading, judged by its source.
 
@@ -353,12 +398,11 @@ def find_spikes(frames: DataFrame, bounds: Bounds, held: dict[tuple[str | None,
     numbers per dimension of each source.
     """
     held = held or {}
-    rows = detail_histogram(frames, bounds, rule).collect()  # bounded: sources x dimensions x bins
-    by_source = scales([tuple(r) for r in rows], rule)
+    by_source = source_scales(detail_histogram(frames, bounds, rule), rule)
     for key, dims in held.items():
         for dim in dims:
-            if key in by_source and dim < len(by_source[key]["limit"]):
-                by_source[key]["limit"][dim], by_source[key]["motion"][dim], by_source[key]["trace"][dim] = np.inf, np.inf, -1.0
+            if key in by_source and dim < len(by_source[key]["trace"]):
+                by_source[key]["limit"][:, dim], by_source[key]["motion"][:, dim], by_source[key]["trace"][dim] = np.inf, np.inf, -1.0
 
     def flag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, t, group in _tables(batches):
@@ -373,7 +417,7 @@ def find_spikes(frames: DataFrame, bounds: Bounds, held: dict[tuple[str | None,
                 scale = by_source.get((name, vector))
                 if scale is not None and len(s.v):
                     width = values.shape[1]
-                    grow = {k: np.concatenate([x, np.full(max(0, width - len(x)), {"trace": -1, "need": 2**40}.get(k, np.inf), x.dtype)])[:width] for k, x in scale.items()}
+                    grow = {k: _widened(x, width, {"trace": -1, "need": 2**40}.get(k, np.inf)) for k, x in scale.items()}
                     for mask in (s.departures(grow["limit"], grow["motion"], grow["steepest"], rule.agree), s.stuck(grow["trace"], grow["need"])):
                         hit[s.pairs(mask)] = True
                     if (grow["need"][grow["trace"] > 0] > rule.min_run).any():
