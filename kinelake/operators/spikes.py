@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ class SpikeRule:
     coarse: float = 0.1
     ordinary: float = 0.2
     joint: int = 3
-    bins: int = 16
+    bins: int = 8
     least: int = 20
     block: int = 4096
     halo: int = 128
@@ -185,8 +186,8 @@ class Series:
             least = np.minimum(least, np.abs(self.v[a + j] - (before + (after - before) * (j + 1) / (width + 1))))
         return least
 
-    def histogram(self, core: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Dimension (with its kind), bin and number of the details of core rows, and of the lengths of zero runs."""
+    def histogram(self, core: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (see :func:`detail_histogram`) and numbers of the details of core rows, and of the lengths of zero runs."""
         use = self.same & core[self.at[1:]]
         details, of = [self.detail[use]], [self.of[1:][use]]
         for width in LEVELS:
@@ -203,8 +204,7 @@ class Series:
         mine = core[self.at[begin]] if len(begin) else np.zeros(0, bool)
         of = np.concatenate([of, self.of[begin[mine]] + RUNS * KIND])
         code = np.concatenate([code, np.minimum(end - begin + 1, 100)[mine]])
-        unique, n = np.unique(of * 65536 + code + 32768, return_counts=True)
-        return unique // 65536, unique % 65536 - 32768, n
+        return np.unique(of * 65536 + code + 32768, return_counts=True)
 
     def departures(self, limit: np.ndarray, motion: np.ndarray, steepest: np.ndarray, agree: float) -> np.ndarray:
         """Readings of departures of one to three frames: details beyond ``limit`` (levels x dimensions) from the line, or ``motion`` from carried lines."""
@@ -277,25 +277,47 @@ def _tables(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str | None, pa.
 Bounds = dict[tuple[str | None, str], tuple[np.ndarray, np.ndarray]]
 
 
-def detail_histogram(frames: DataFrame, bounds: Bounds, rule: SpikeRule) -> DataFrame:
-    """Numbers of finest details by source, vector, dimension and log bin; partial counts are summed."""
+HISTOGRAM = "dataset_name string, vector string, part int, code array<bigint>, n array<bigint>"
+
+
+def detail_histogram(frames: DataFrame, bounds: Bounds, rule: SpikeRule, salts: int = 256) -> DataFrame:
+    """(dataset_name, vector, code, n): numbers of details by dimension with its kind and log bin, a row per source and vector.
+
+    ``code`` is ``(kind * KIND + dim) * 65536 + bin + 32768``. A task adds up its
+    own rows; where tasks are many, their histograms are added by salt first.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[tuple, int] = {}
+        held: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
         for name, t, group in _tables(batches):
             core = np.asarray(t.column("core").combine_chunks().cast(pa.int8())).astype(bool)
             for vector in VECTORS:
                 limits = bounds.get((name, vector))
                 values = matrix(t.column(vector), None if limits is None else len(limits[0]))
-                for dim, bin_, n in zip(*(x.tolist() for x in Series(values, group, limits).histogram(core, rule.bins))):
-                    key = (name, vector, dim, bin_)
-                    totals[key] = totals.get(key, 0) + n
-        if totals:
-            columns = list(zip(*totals))
-            yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1]), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(list(totals.values()), pa.int64())], ["dataset_name", "vector", "dim", "bin", "n"])
+                parts = held.setdefault((name, vector), [])
+                parts.append(Series(values, group, limits).histogram(core, rule.bins))
+                if len(parts) > 16:
+                    parts[:] = [_added(parts)]
+        part = TaskContext.get().partitionId() % salts
+        for (name, vector), parts in held.items():
+            code, n = _added(parts)
+            one = pa.array([0, len(code)], pa.int32())
+            yield pa.record_batch([pa.array([name], pa.string()), pa.array([vector]), pa.array([part], pa.int32()), pa.ListArray.from_arrays(one, pa.array(code)), pa.ListArray.from_arrays(one, pa.array(n))], [c.split()[0] for c in HISTOGRAM.split(", ")])
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        code, n = _added(list(zip(pdf["code"], pdf["n"])))
+        return pd.DataFrame({"dataset_name": pdf["dataset_name"].iloc[:1], "vector": pdf["vector"].iloc[:1], "part": pdf["part"].iloc[:1], "code": [code], "n": [n]})
+
+    partial = blocks(frames, rule).mapInArrow(count, HISTOGRAM)
+    if int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 2 * salts:
+        partial = partial.groupBy("dataset_name", "vector", "part").applyInPandas(merged, HISTOGRAM)
+    return partial.groupBy("dataset_name", "vector").applyInPandas(merged, HISTOGRAM).drop("part")
+
 
-    partial = blocks(frames, rule).mapInArrow(count, "dataset_name string, vector string, dim int, bin int, n long")
-    return partial.groupBy("dataset_name", "vector", "dim", "bin").agg(F.sum("n").alias("n"))
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Histograms given as codes and numbers, as one."""
+    code, where = np.unique(np.concatenate([p[0] for p in parts]).astype(np.int64), return_inverse=True)
+    return code, np.bincount(where, np.concatenate([p[1] for p in parts]), len(code)).astype(np.int64)
 
 
 def deviation(rows: list[tuple[int, int]], bins: int, least: int) -> float:
@@ -311,7 +333,7 @@ def deviation(rows: list[tuple[int, int]], bins: int, least: int) -> float:
 def scales(histogram, rule: SpikeRule) -> dict[tuple[str | None, str], dict[str, np.ndarray]]:
     """Per source and vector, by dimension: limits of departures, ``trace`` and ``need`` of stuck runs.
 
-    ``histogram``: rows of :func:`detail_histogram`, a few hundred bins per dimension and kind.
+    ``histogram``: (source, vector, dimension with its kind, bin, number) rows, a few hundred bins per dimension and kind.
     """
     grouped: dict[tuple, dict[int, list]] = {}
     for name, vector, dim, bin_, n in histogram:
@@ -344,18 +366,22 @@ def scales(histogram, rule: SpikeRule) -> dict[tuple[str | None, str], dict[str,
 
 
 def source_scales(histogram: DataFrame, rule: SpikeRule) -> dict[tuple[str | None, str], dict[str, np.ndarray]]:
-    """:func:`scales` of all sources, made where their histograms are: a row of about ten numbers per dimension comes to the driver."""
+    """:func:`scales` of all sources, made where their histograms are: about ten numbers per dimension come to the driver."""
     names = ["limit", "motion", "trace", "need", "steepest"]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, vector = pdf["dataset_name"].iloc[0], pdf["vector"].iloc[0]
-        got = scales([(name, vector, *r) for r in zip(pdf["dim"].tolist(), pdf["bin"].tolist(), pdf["n"].tolist())], rule)
-        found = got[name, vector]
-        return pd.DataFrame({"dataset_name": [name], "vector": [vector], **{k: [found[k].astype(float).ravel()] for k in names}})
+    def one(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                code = np.asarray(r.code)
+                rows = zip((code // 65536).tolist(), (code % 65536 - 32768).tolist(), np.asarray(r.n).tolist())
+                found = scales([(r.dataset_name, r.vector, *x) for x in rows], rule).get((r.dataset_name, r.vector))
+                if found is None:  # no detail at all
+                    continue
+                yield pd.DataFrame({"dataset_name": [r.dataset_name], "vector": [r.vector], **{k: [found[k].astype(float).ravel()] for k in names}})
 
     schema = "dataset_name string, vector string, " + ", ".join(f"{k} array<double>" for k in names)
     out = {}
-    for r in histogram.groupBy("dataset_name", "vector").applyInPandas(one, schema).collect():
+    for r in histogram.mapInPandas(one, schema).collect():
         told = {k: np.array(r[k], float) for k in names}
         width = len(told["trace"])
         out[r["dataset_name"], r["vector"]] = told | {k: told[k].reshape(-1, width) for k in ("limit", "motion")} | {"need": told["need"].astype(np.int64)}
