@@ -94,21 +94,23 @@ def history_offsets(length: float, freq: float) -> list[float]:
     return [(k - (n - 1)) / freq for k in range(n)]
 
 
-def timed_history(frames: DataFrame, keys: list[str], fps: float, length: float, freq: float, values: list[str], lower: Column | None = None) -> DataFrame:
+def timed_history(frames: DataFrame, keys: list[str], fps: float | Column, length: float, freq: float, values: list[str], lower: Column | None = None) -> DataFrame:
     """Causal history in seconds: (keys, frame, k, src, valid, offset, values).
 
     The step at or before each target time, never one after; not valid where it
     lies before ``lower`` or more than a sampling period before its target.
+    ``fps`` may be a column of the episode.
     """
     lo = F.lit(0).cast("long") if lower is None else lower
-    offsets = F.array(*[F.struct(F.lit(i).cast("long").alias("k"), F.lit(o * fps).alias("o")) for i, o in enumerate(history_offsets(length, freq))])
-    want = frames.select(*keys, "frame", lo.alias("_lo"), F.explode(offsets).alias("_o"))
-    target = F.col("frame") + F.col("_o.o")
+    offsets = F.array(*[F.struct(F.lit(i).cast("long").alias("k"), F.lit(o).alias("o")) for i, o in enumerate(history_offsets(length, freq))])
+    rate = (fps if isinstance(fps, Column) else F.lit(float(fps))).cast("double")
+    want = frames.select(*keys, "frame", lo.alias("_lo"), rate.alias("_fps"), F.explode(offsets).alias("_o"))
+    target = F.col("frame") + F.col("_o.o") * F.col("_fps")
     at = F.floor(target + 1e-9)
     want = want.select(
         *keys, "frame", F.col("_o.k").alias("k"), F.greatest(at, "_lo").alias("src"),
-        ((at >= F.col("_lo")) & (target - at <= F.lit(fps / freq + 1e-9))).alias("valid"),
-    ).withColumn("offset", (F.col("src") - F.col("frame")) / F.lit(float(fps)))
+        ((at >= F.col("_lo")) & (target - at <= F.col("_fps") / freq + 1e-9)).alias("valid"), "_fps",
+    ).withColumn("offset", (F.col("src") - F.col("frame")) / F.col("_fps")).drop("_fps")
     return want.join(frames.select(*keys, F.col("frame").alias("src"), *values), [*keys, "src"])
 
 

@@ -6,6 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from kinelake.plans import general, reference, robot
+
+CORE = {**general.SQL, **reference.SQL, **robot.SQL}
 
 KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
 
@@ -26,7 +29,7 @@ def rows(df):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(CORE))
 def test_sql_twin(spark, sf, duck, name):
     got = entry.queries()[name](spark, sf)
     told = duck.sql(entry.oracle_sql()[name])
