@@ -105,8 +105,9 @@ class Dataset:
 
 def dataset(spark: SparkSession, name: str, root: str | None = None, **options) -> Dataset:
     """A registered dump by name: its source's reader, else the repos under its folder."""
-    from kinelake.sources import lerobot
+    from kinelake.sources import adapters, lerobot
 
+    adapters.attach(REGISTRY)
     source = REGISTRY.get(name)
     folder = dataset_path(name, root)
     if source.frames is not None:

@@ -199,11 +199,11 @@ def robot_holdout(spark, d):
 
 
 @query("""with e as (select record_id as episode, max(n_frames) as n from episodes where record_id is not null group by 1 having max(n_frames) > 0), o as (select episode, n, row_number() over (order by episode) - 1 as r, count(*) over () as total from e),
-  p as (select distinct cast(floor(k * (total - 1) / 299.0) as bigint) as r from (select max(total) as total from o) t, generate_series(0, 299) g(k)) select episode, cast(0 as bigint) as frame from o join p on p.r = o.r""")
+  p as (select distinct cast(floor(k * (total - 1) / 49.0) as bigint) as r from (select max(total) as total from o) t, generate_series(0, 49) g(k)) select episode, cast(0 as bigint) as frame from o join p on p.r = o.r""")
 def robot_balanced_validation(spark, d):
-    """Three hundred validation frames spread over all episodes that have frames; fewer than there are episodes."""
+    """Fifty validation frames spread over all episodes that have frames; fewer than there are episodes."""
     e = table(spark, d, "episodes").filter("record_id is not null").groupBy(F.col("record_id").alias("episode")).agg(F.max("n_frames").alias("n")).filter("n > 0")
-    return sampling.balanced_sample(e, "episode", "n", 300)
+    return sampling.balanced_sample(e, "episode", "n", 50)
 
 
 @query("""select repo_index, coalesce(max(fps), max(try_cast(trim(json_extract_string(info, '$.fps')) as double)), 0.0) as fps, cast(count(*) as bigint) as copies from repos where repo_index is not null group by 1""")

@@ -81,17 +81,13 @@ def zarr_rows(names: dict[str, str]) -> Callable[[str], Iterator[tuple]]:
     return rows
 
 
-def mcap_rows(topics: Iterable[str]) -> Callable[[str], Iterator[tuple]]:
-    """Messages of topics as (path, log time in ns, topic, numbers)."""
+def mcap_rows(topics: Iterable[str], field: str = "position") -> Callable[[str], Iterator[tuple]]:
+    """Messages of topics as (path, log time in ns, topic, numbers of their ``field``)."""
+    from kinelake.sources.mcap import Recording
 
     def rows(path: str) -> Iterator[tuple]:
-        reader = need("mcap.reader")
-        import json
-
-        with open(path, "rb") as f:
-            for _, channel, message in reader.make_reader(f).iter_messages(topics=list(topics)):
-                data = json.loads(message.data)
-                yield path, message.log_time, channel.topic, [float(x) for x in np.ravel(data.get("data", data.get("position", [])))]
+        for topic, at, fields in Recording(path).messages(topics):
+            yield path, at, topic, [float(x) for x in np.ravel(fields.get(field) or [])]
 
     return rows
 
