@@ -2,13 +2,17 @@
 
 Metadata of all repos under a root is read in a handful of distributed scans;
 nothing walks episodes on the driver. Frames are parquet scans with column
-pruning, and an episode filter that reaches the files.
+pruning, and a choice of files and episodes that reaches the scan.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +78,12 @@ def _texts(spark: SparkSession, root: str, name: str) -> DataFrame:
     return raw.select(F.regexp_replace(path, f"/meta/{re.escape(name)}$", "").alias("repo"), F.col("value")).filter(F.col("repo") != path)
 
 
-def data_counts(spark: SparkSession, root: str) -> DataFrame:
-    """(repo, parquet, episode_index, n): rows per data file and episode."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").schema("episode_index long").parquet(root)
+FEW = 10_000  # files whose names are given to a scan; more are found below their repos
+
+
+def data_counts(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(repo, parquet, episode_index, n): rows per data file and episode, of files or of all below folders."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").schema("episode_index long").parquet(*folders)
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     at = raw.select(path.alias("p"), "episode_index").filter(F.col("p").rlike("/data/chunk-[0-9]+/"))
     return at.groupBy(F.regexp_extract("p", "^(.*)/data/chunk-[^/]*/[^/]*$", 1).alias("repo"), F.regexp_extract("p", "(data/chunk-[^/]*/[^/]*)$", 1).alias("parquet"), "episode_index").agg(F.count(F.lit(1)).alias("n"))
@@ -93,13 +100,27 @@ def scan_v2(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
     listed = v2.join(lines.select("repo", "j.*"), "repo").filter("episode_index is not null")
     chunk = F.floor(F.col("episode_index") / F.col("chunks_size"))
     listed = listed.withColumn("chunk", chunk).withColumn("parquet", filled(F.col("data_path"), episode_chunk=F.col("chunk"), episode_index=F.col("episode_index")))
-    counted = data_counts(spark, root)
-    short = listed.filter("coalesce(length, 0) <= 0").join(counted.groupBy("repo", "parquet").agg(F.sum("n").alias("n")), ["repo", "parquet"])
-    full = listed.filter("length > 0").withColumn("n", F.col("length"))
     cols = ["repo", "episode_index", "tasks", "chunk", "parquet", "n"]
-    rest = v2.join(lines.select("repo").distinct(), "repo", "left_anti").select("repo").join(counted, "repo")
-    rest = rest.select("repo", "episode_index", F.lit(None).cast("array<string>").alias("tasks"), F.regexp_extract("parquet", "chunk-0*([0-9]+)/", 1).cast("long").alias("chunk"), "parquet", "n")
-    return full.select(*cols).unionByName(short.select(*cols)).unionByName(rest).withColumnRenamed("n", "n_frames")
+    out = listed.filter("length > 0").withColumn("n", F.col("length")).select(*cols)
+    # files are opened only where a length is missing or a repo has no list
+    unsized = listed.filter("coalesce(length, 0) <= 0")
+    files = unsized.select(F.concat_ws("/", "repo", "parquet").alias("p")).distinct().limit(FEW + 1).collect()
+    if files:
+        there = existing(spark, [r.p for r in files]) if len(files) <= FEW else [f"{r.repo}/data" for r in unsized.select("repo").distinct().collect()]
+        if there:
+            counted = data_counts(spark, there).groupBy("repo", "parquet").agg(F.sum("n").alias("n"))
+            out = out.unionByName(unsized.join(counted, ["repo", "parquet"]).select(*cols))
+    lone = existing(spark, [f"{r.repo}/data" for r in v2.join(lines.select("repo").distinct(), "repo", "left_anti").select("repo").collect()])  # a row per repo
+    if lone:
+        rest = data_counts(spark, lone)
+        out = out.unionByName(rest.select("repo", "episode_index", F.lit(None).cast("array<string>").alias("tasks"), F.regexp_extract("parquet", "chunk-0*([0-9]+)/", 1).cast("long").alias("chunk"), "parquet", "n"))
+    return out.withColumnRenamed("n", "n_frames").withColumn("task_index", F.lit(None).cast("long"))
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that are there."""
+    fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    return [p for p in paths if (h := fs.Path(p)).getFileSystem(conf).exists(h)]
 
 
 def scan_v3(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
@@ -109,16 +130,11 @@ def scan_v3(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
     episode begins in it.
     """
     v3 = known.filter("version = 'v3'")
-    cols = ["repo", "episode_index", "tasks", "chunk", "parquet", "n_frames", "cameras"]
+    cols = ["repo", "episode_index", "tasks", "chunk", "parquet", "n_frames", "cameras", "task_index"]
     camera = "map<string,struct<chunk:bigint,file_index:bigint,from_timestamp:double>>"
     metas = [r.repo for r in v3.select("repo").collect()]  # one row per repo
-    out, seen = None, []
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for repo in metas:
-        path = fs.Path(f"{repo}/meta/episodes")
-        if path.getFileSystem(conf).exists(path):
-            seen.append(repo)
+    out = None
+    seen = [p.removesuffix("/meta/episodes") for p in existing(spark, [f"{r}/meta/episodes" for r in metas])]
     if seen:
         raw = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(*[f"{r}/meta/episodes" for r in seen])
         kinds = dict(raw.dtypes)
@@ -126,39 +142,62 @@ def scan_v3(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
         cell = lambda k, f, t: F.col(f"`videos/{k}/{f}`").cast(t) if f"videos/{k}/{f}" in kinds else F.lit(None).cast(t)
         entries = [F.struct(F.lit(k).alias("key"), F.struct(cell(k, "chunk_index", "long").alias("chunk"), cell(k, "file_index", "long").alias("file_index"), F.coalesce(cell(k, "from_timestamp", "double"), F.lit(0.0)).alias("from_timestamp")).alias("value")) for k in keys]
         cams = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"]["file_index"].isNotNull())) if keys else F.create_map().cast(camera)
-        tasks = F.flatten("tasks") if kinds.get("tasks", "").startswith("array<array") else F.col("tasks") if "tasks" in kinds else F.lit(None).cast("array<string>")
+        number = F.col("task_index").cast("long") if "task_index" in kinds else F.lit(None).cast("long")
+        tasks = F.flatten("tasks") if kinds.get("tasks", "").startswith("array<array") else F.array("tasks") if kinds.get("tasks") == "string" else F.col("tasks") if "tasks" in kinds else F.lit(None).cast("array<string>")
         repo = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"), "/meta/episodes/.*$", "")
-        rows = raw.select(repo.alias("repo"), "episode_index", F.col("length").cast("long").alias("n_frames"), tasks.alias("tasks"), F.col("`data/chunk_index`").cast("long").alias("chunk"), F.col("`data/file_index`").cast("long").alias("file"), cams.cast(camera).alias("cameras"))
+        rows = raw.select(repo.alias("repo"), "episode_index", F.col("length").cast("long").alias("n_frames"), tasks.alias("tasks"), F.col("`data/chunk_index`").cast("long").alias("chunk"), F.col("`data/file_index`").cast("long").alias("file"), cams.cast(camera).alias("cameras"), number.alias("task_index"))
         rows = rows.join(v3.select("repo", "data_path"), "repo").filter("n_frames > 0")
         out = rows.withColumn("parquet", filled(F.col("data_path"), chunk_index=F.col("chunk"), file_index=F.col("file"), episode_chunk=F.col("chunk"), episode_index=F.col("file"))).select(*cols)
-    others = [r for r in metas if r not in seen]
+    others = existing(spark, [f"{r}/data" for r in metas if r not in seen])
     if others:
-        counted = data_counts(spark, root).join(v3.filter(F.col("repo").isin(others)).select("repo"), "repo")
-        rest = counted.select("repo", "episode_index", F.lit(None).cast("array<string>").alias("tasks"), F.regexp_extract("parquet", "chunk-0*([0-9]+)/", 1).cast("long").alias("chunk"), "parquet", F.col("n").alias("n_frames"), F.create_map().cast(camera).alias("cameras"))
+        rest = data_counts(spark, others).select("repo", "episode_index", F.lit(None).cast("array<string>").alias("tasks"), F.regexp_extract("parquet", "chunk-0*([0-9]+)/", 1).cast("long").alias("chunk"), "parquet", F.col("n").alias("n_frames"), F.create_map().cast(camera).alias("cameras"), F.lit(None).cast("long").alias("task_index"))
         out = rest if out is None else out.unionByName(rest)
-    return out if out is not None else spark.createDataFrame([], f"repo string, episode_index long, tasks array<string>, chunk long, parquet string, n_frames long, cameras {camera}")
+    return out if out is not None else spark.createDataFrame([], f"repo string, episode_index long, tasks array<string>, chunk long, parquet string, n_frames long, cameras {camera}, task_index long")
 
 
 def tasks(spark: SparkSession, root: str) -> DataFrame:
-    """(repo, task_index, task) from ``meta/tasks.jsonl``; a number told twice takes the first text in order."""
+    """(repo, task_index, task) from ``meta/tasks.jsonl``, or ``meta/tasks.parquet`` where there is none.
+
+    A number told twice takes the first text in order. A parquet file without
+    ``task`` has its texts in its last column, one without ``task_index`` is
+    numbered as its rows come.
+    """
     rows = _texts(spark, root, "tasks.jsonl").select("repo", F.from_json("value", "task_index long, task string").alias("j")).select("repo", "j.*")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "tasks.parquet").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    paths = [r.path for r in listed.filter(F.col("path").endswith("/meta/tasks.parquet")).collect()]  # at most one per repo
+    if paths:
+
+        def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                for path, content in zip(pdf["path"], pdf["content"]):
+                    t = pq.read_table(pa.BufferReader(content)).to_pandas().reset_index()
+                    t = t.drop(columns=[c for c in t.columns if c == "index"])
+                    text = "task" if "task" in t.columns else next(c for c in reversed(t.columns) if c != "task_index")
+                    number = t["task_index"] if "task_index" in t.columns else range(len(t))
+                    yield pd.DataFrame({"repo": path.removesuffix("/meta/tasks.parquet"), "task_index": [int(i) for i in number], "task": [str(x) for x in t[text]]})
+
+        raw = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+        packed = raw.mapInPandas(read, "repo string, task_index long, task string")
+        rows = rows.unionByName(packed.join(rows.select("repo").distinct(), "repo", "left_anti"))
     return rows.filter("task_index is not null").groupBy("repo", "task_index").agg(F.min("task").alias("task"))
 
 
 def scan(spark: SparkSession, root: str, spec: DumpSpec | None = None, max_episodes: int | None = None) -> DataFrame:
     """Episode records of all repos under ``root``: (kind, path, repo, version, fps, episode_index, ..., lang).
 
-    ``lang`` is the first task of the episode, else the repo's first task, else
-    empty. ``max_episodes`` limits the records in order of path and episode.
+    ``lang`` is the first task of the episode, else the task of its number, else
+    the repo's first task, else empty. ``max_episodes`` limits the records in order of path and episode.
     """
     known = repos(spark, root)
     v2 = scan_v2(spark, root, known).withColumn("cameras", F.create_map().cast("map<string,struct<chunk:bigint,file_index:bigint,from_timestamp:double>>"))
     both = v2.unionByName(scan_v3(spark, root, known))
-    first = tasks(spark, root).groupBy("repo").agg(F.min_by("task", "task_index").alias("_first"))
+    told = tasks(spark, root)
+    first = told.groupBy("repo").agg(F.min_by("task", "task_index").alias("_first"))
     rows = both.join(known.select("repo", "version", "fps", "video_path"), "repo").join(first, "repo", "left")
+    rows = rows.join(told.withColumnRenamed("task", "_own"), ["repo", "task_index"], "left")
     rows = rows.select(
         F.lit("lerobot").alias("kind"), F.concat_ws("/", "repo", "parquet").alias("path"), "repo", "version", "fps", "episode_index", "chunk", "parquet", "n_frames", "cameras", "video_path",
-        F.coalesce(F.try_element_at("tasks", F.lit(1)), "_first", F.lit("")).alias("lang"),
+        F.coalesce(F.try_element_at("tasks", F.lit(1)), "_own", "_first", F.lit("")).alias("lang"),
     )
     if max_episodes is not None:
         rows = rows.orderBy("repo", "episode_index").limit(max_episodes)
@@ -178,12 +217,18 @@ def feature_type(info: Column, camera: str) -> Column:
 def read_frames(spark: SparkSession, records: DataFrame, spec: DumpSpec, root: str) -> DataFrame:
     """(repo, episode_index, frame, timestamp, task_index, state, action) of the records' steps.
 
-    Records select files and episodes by join; columns are pruned to what the
-    spec names. A missing column raises with the names there are, vectors of
+    Of up to ``FEW`` files only these are read, and row groups without a wanted
+    episode are passed over; more are read below their repos. Columns are pruned
+    to what the spec names. A missing column raises with the names there are, vectors of
     several columns must make up the spec's width. Without action columns
     ``action`` is null.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("mergeSchema", "true").parquet(*[f"{r.repo}/data" for r in records.select("repo").distinct().collect()])  # a row per repo
+    files = [r.path for r in records.select("path").distinct().limit(FEW + 1).collect()]
+    if len(files) > FEW:
+        files = [f"{r.repo}/data" for r in records.select("repo").distinct().collect()]  # a row per repo
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("mergeSchema", "true").parquet(*files)
+    ends = records.agg(F.min("episode_index"), F.max("episode_index")).first()
+    raw = raw.filter(F.col("episode_index").between(*ends))
     kinds = dict(raw.dtypes)
 
     def vector(columns: tuple[str, ...], dim: int, need: bool) -> Column:

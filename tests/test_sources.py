@@ -38,6 +38,36 @@ def test_repo_round_trip(spark, tmp_path):
     assert [(r.episode_index, r.n_frames, r.lang) for r in again] == [(0, 5, "task 0"), (1, 3, "task 0"), (2, 7, "task 0")]
 
 
+def test_only_wanted_files_are_read(spark, tmp_path):
+    """Other episodes' files may be broken; lengths that are told are not counted."""
+    root = tmp_path / "r"
+    writers.write_repo(frames(spark), str(root), SPEC)
+    (root / "data/chunk-000/episode_000002.parquet").write_bytes(b"broken")
+    records = lerobot.scan(spark, str(root))
+    assert records.count() == 3
+    one = records.filter("episode_index = 1")
+    rows = lerobot.read_frames(spark, one, SPEC, str(root))
+    assert rows.count() == 3
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(episode_index,1)" in plan
+
+
+def test_tasks_of_a_parquet(spark, tmp_path):
+    """v3: an episode's task number finds its text, which may be the table's index."""
+    import pandas as pd
+
+    v3_repo(tmp_path / "r")
+    meta = tmp_path / "r" / "meta"
+    pd.DataFrame({"task_index": [4, 2]}, index=pd.Index(["four", "two"], name="task")).to_parquet(meta / "tasks.parquet")
+    file = next(meta.rglob("episodes/**/*.parquet"))
+    t = pq.read_table(file)
+    t = t.drop_columns(["tasks"]) if "tasks" in t.column_names else t
+    pq.write_table(t.append_column("task_index", pa.array([4, None, 9][: t.num_rows] + [None] * max(0, t.num_rows - 3), pa.int64())), file)
+    assert {r.task_index: r.task for r in lerobot.tasks(spark, str(tmp_path)).collect()} == {4: "four", 2: "two"}
+    got = [r.lang for r in lerobot.scan(spark, str(tmp_path)).orderBy("episode_index").collect()]
+    assert got == (["four"] + ["two"] * 9)[: len(got)]
+
+
 def test_lengths_from_files_and_columns(spark, tmp_path):
     root = tmp_path / "r"
     writers.write_repo(frames(spark), str(root), SPEC)
