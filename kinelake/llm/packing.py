@@ -67,65 +67,88 @@ def _sums(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return total, first[i[at]], first[j[at]] + (i[at] == j[at])
 
 
-def _exchange(a: np.ndarray, b: np.ndarray, room: int, least: int = 1) -> tuple[int, tuple, tuple] | None:
-    """The exchange that moves most size, ``least`` to ``room``, from b to a: (size, from b, from a).
-
-    Moves, one for one, two for one and one for two; ``a`` and ``b`` are sorted,
-    rising, and all their items take part. What may be given for each taken
-    amount is found by binary search.
-    """
-    best: tuple[int, tuple, tuple] | None = None
-    none = (np.zeros(1, np.int64), (), ())
-    ones_b, ones_a = (np.unique(b, return_index=True), np.unique(a, return_index=True))
-    kinds = [(ones_b, none, 1, 0), (ones_b, ones_a, 1, 1), (None, ones_a, 2, 1), (ones_b, None, 1, 2)]
-    for give, take, n_give, n_take in kinds:
-        give, take = _sums(b) if give is None else give, _sums(a) if take is None else take
-        if not len(give[0]) or not len(take[0]):
-            continue
-        at = np.searchsorted(give[0], take[0] + room, "right") - 1
-        gain = np.where(at >= 0, give[0][np.maximum(at, 0)] - take[0], 0)
-        j = int(gain.argmax())
-        size = int(gain[j])
-        if size >= least and (best is None or size > best[0]):
-            i = int(at[j])
-            best = (size, tuple(int(x[i]) for x in give[1 : 1 + n_give]), tuple(int(x[j]) for x in take[1 : 1 + n_take]))
-            if size == room:
-                break
-    return best
+class Offers:
+    """What open bins can give: single items and pairs of items of a bin, by size over all bins."""
+
+    def __init__(self, bins: dict[int, np.ndarray], sizes: np.ndarray):
+        ones, twos = [], []
+        for k, items in bins.items():
+            have = sizes[items]
+            value, first = np.unique(have, return_index=True)
+            ones.append((value, np.full(len(value), k), items[first], np.full(len(value), -1)))
+            total, i, j = _sums(have)
+            twos.append((total, np.full(len(total), k), items[i], items[j]))
+        self.tables = [self._sorted(x) for x in (ones, twos)]
+
+    @staticmethod
+    def _sorted(parts: list[tuple]) -> list[np.ndarray]:
+        columns = [np.concatenate(c).astype(np.int64) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
+        order = np.argsort(columns[0], kind="stable")
+        return [c[order] for c in columns]
+
+    def without(self, closed: np.ndarray) -> None:
+        """Take out the offers of closed bins (a mask over bins)."""
+        for n, (size, bin_, i, j) in enumerate(self.tables):
+            keep = ~closed[bin_]
+            self.tables[n] = [size[keep], bin_[keep], i[keep], j[keep]]
+
+    def best(self, own: np.ndarray, items: np.ndarray, room: int) -> tuple[int, int, list[int], list[int]] | None:
+        """The exchange that moves most size, 1 to ``room``, into a bin with ``items`` of sizes ``own`` (rising): (size, from bin, given, taken)."""
+        found: tuple[int, int, list[int], list[int]] | None = None
+        value, first = np.unique(own, return_index=True)
+        total, p, q = _sums(own)
+        takes = {0: (np.zeros(1, np.int64), None, None), 1: (value, first, None), 2: (total, p, q)}
+        for n_give, n_take in ((1, 0), (1, 1), (2, 1), (1, 2)):
+            size, bin_, i, j = self.tables[n_give - 1]
+            take, x, y = takes[n_take]
+            if not len(size) or not len(take):
+                continue
+            at = np.searchsorted(size, take + room, "right") - 1
+            gain = np.where(at >= 0, size[np.maximum(at, 0)] - take, 0)
+            t = int(gain.argmax())
+            if gain[t] >= 1 and (found is None or gain[t] > found[0]):
+                g = int(at[t])
+                given = [int(i[g])] + ([int(j[g])] if n_give == 2 else [])
+                found = int(gain[t]), int(bin_[g]), given, [int(items[z[t]]) for z in (x, y) if z is not None]
+                if found[0] == room:
+                    break
+        return found
 
 
 def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds: int | None = None) -> list[list[int]]:
     """Local search over underfull bins; every step raises the sum of squared fills.
 
-    In each round every underfull bin, fullest first, takes from the emptier
-    bins, emptiest first, until it is full or none can give. Rounds end when
-    nothing moves, which comes as the sum of squares is bounded, or after
-    ``rounds`` if that is given.
+    In each round every underfull bin, fullest first, takes from any emptier
+    bin by the exchange that moves most, as long as it has room and one moves
+    anything; a bin that gave is closed for the round. Rounds end when nothing
+    moves, which comes as the sum of squares is bounded, or when there are no
+    more bins than the sizes need at least, or after ``rounds`` if that is given.
     """
-    fill = [int(sizes[b].sum()) for b in bins]
+    fill = np.array([int(sizes[b].sum()) for b in bins], np.int64)
+    need = -(-int(fill.sum()) // capacity)
     done = 0
-    while rounds is None or done < rounds:
+    while (rounds is None or done < rounds) and int((fill > 0).sum()) > need:
         done += 1
         open_ = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (-fill[k], k))
         items = {k: np.array(sorted(bins[k], key=lambda i: (sizes[i], i)), np.int64) for k in open_}
-        changed = False
-        for up, k in enumerate(open_):
-            for j in reversed(open_[up + 1 :]):
-                # a taken item may leave room for one that j could not give before
-                while 0 < fill[j] <= fill[k] < capacity:
-                    step = _exchange(sizes[items[k]], sizes[items[j]], capacity - fill[k])
-                    if step is None:
-                        break
-                    size, from_b, from_a = step
-                    give, take = items[j][list(from_b)], items[k][list(from_a)]
-                    for x, out, in_ in ((k, from_a, give), (j, from_b, take)):
-                        left = np.concatenate([np.delete(items[x], list(out)), in_])
-                        items[x] = left[np.lexsort((left, sizes[left]))]
-                    fill[k] += size
-                    fill[j] -= size
-                    changed = True
-                if fill[k] == capacity:
+        offers, closed, changed = Offers(items, sizes), np.zeros(len(bins), bool), False
+        for k in open_:
+            if closed[k]:
+                continue
+            closed[k] = True
+            offers.without(closed)
+            while fill[k] < capacity:
+                step = offers.best(sizes[items[k]], items[k], int(capacity - fill[k]))
+                if step is None:
                     break
+                size, j, given, taken = step
+                for x, out, in_ in ((k, taken, given), (j, given, taken)):
+                    left = np.concatenate([items[x][~np.isin(items[x], out)], np.array(in_, np.int64)])
+                    items[x] = left[np.lexsort((left, sizes[left]))]
+                fill[k] += size
+                fill[j] -= size
+                closed[j] = changed = True
+                offers.without(closed)
         for k, x in items.items():
             bins[k] = x.tolist()
         if not changed:

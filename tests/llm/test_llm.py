@@ -387,18 +387,26 @@ def test_pack(spark):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_exchange_is_the_best(seed):
-    """Against all moves, one for one, two for one and one for two; many small items take part, too."""
+    """Against all moves, one for one, two for one and one for two, of all bins; many small items take part, too."""
     r = np.random.default_rng(seed)
     for _ in range(60):
-        a, b = (np.sort(r.integers(1, int(r.integers(2, 30)), int(r.integers(1, 90 if seed else 7)))) for _ in "ab")
+        made = [np.sort(r.integers(1, int(r.integers(2, 30)), int(r.integers(1, 90 if seed else 7)))) for _ in range(int(r.integers(2, 5)))]
         room = int(r.integers(1, 40))
+        sizes = np.concatenate(made)
+        ends = np.cumsum([len(m) for m in made])
+        bins = {k: np.arange(e - len(m), e) for k, (m, e) in enumerate(zip(made, ends))}
         sums = lambda x: {int(x[i] + x[j]) for i in range(len(x)) for j in range(i)}
-        gains = {int(x - y) for gives, takes in (((b), (0, *a)), (sums(b), a), (b, sums(a))) for x in gives for y in takes}
+        a = made[0]
+        gains = {int(x - y) for b in made[1:] for gives, takes in ((b, (0, *a)), (sums(b), a), (b, sums(a))) for x in gives for y in takes}
         most = max((g for g in gains if 0 < g <= room), default=0)
-        got = packing._exchange(a, b, room)
+        offers = packing.Offers(bins, sizes)
+        offers.without(np.array([True] + [False] * (len(made) - 1)))
+        got = offers.best(a, bins[0], room)
         assert (got[0] if got else 0) == most
         if got:
-            assert b[list(got[1])].sum() - a[list(got[2])].sum() == most and len(set(got[1])) == len(got[1]) and len(set(got[2])) == len(got[2])
+            _, j, given, taken = got
+            assert sizes[given].sum() - sizes[taken].sum() == most and set(given) <= set(bins[j]) and set(taken) <= set(bins[0])
+            assert len(set(given)) == len(given) and len(set(taken)) == len(taken)
 
 
 def test_small_items_fill_bins():
