@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinelake.functions.paths import camera_key, dataset_key
-from kinelake.operators import joins, sampling, stats, temporal
+from kinelake.operators import joins, ranks, sampling, stats, temporal
 from kinelake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,14 @@ def robot_quantiles(spark, d):
     return got.select("dataset_name", "dim", *[F.round(q, 6).alias(q) for q in ("q01", "q50", "q99")])
 
 
+@query(f"""with {STEPS}, c as (select dataset_name, cast(unnest(generate_series(0, len(state) - 1)) as bigint) as dim, cast(unnest(state) as double) as value from steps where state is not null and len(state) > 0)
+  select dataset_name, dim, cast(count(*) as bigint) as n, round(quantile_cont(value, 0.05), 6) as q05, round(quantile_cont(value, 0.5), 6) as q50, round(quantile_cont(value, 0.95), 6) as q95 from c where value is not null and not isnan(value) group by 1, 2""")
+def robot_vector_quantiles(spark, d):
+    """Exact quantiles of all state readings, impossible ones too, by radix selection."""
+    got = ranks.vector_quantiles(steps(spark, d), ["dataset_name"], "state", {"q05": 0.05, "q50": 0.5, "q95": 0.95})
+    return got.select("dataset_name", "dim", "n", *[F.round(q, 6).alias(q) for q in ("q05", "q50", "q95")])
+
+
 @query(f"""with {STEPS}, {reached_sql('state')}, f as (select a.dataset_name, a.dim, round(b.value - a.value, 5) as value from cells a join cells b on b.repo_index = a.repo_index and b.episode_index = a.episode_index and b.dim = a.dim and b.frame = a.frame + 1)
   select dataset_name, dim, round(avg(value), 5) as mean, min(value) as min, max(value) as max, round(quantile_cont(value, 0.01), 6) as q01, round(quantile_cont(value, 0.99), 6) as q99, cast(count(*) as bigint) as count from f group by 1, 2""")
 def robot_delta_stats(spark, d):

@@ -262,6 +262,39 @@ def test_ranks_in_finer_cells(spark, most):
     assert [x.q for x in whole] == [2.0] and stats.quantiles(df.limit(0), ["g"], {"q": 0.5}).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vector_quantiles(spark, kind):
+    from kinelake.operators import ranks
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(900, 4)) * [1, 1e-3, 1e30 if kind == "double" else 1e20, 1]
+    x[:, 3] = np.round(x[:, 3])
+    x = x.astype(np.float32 if kind == "float" else float)
+    x[5, 0], x[6, 0], x[7, 0] = np.inf, -np.inf, -0.0
+    groups = r.choice(["a", "b", None], 900)
+    rows = [(g, [None if r.random() < 0.02 else float("nan") if r.random() < 0.02 else float(v) for v in row][: int(r.integers(2, 5))]) for g, row in zip(groups, x)] + [("a", None), ("c", []), ("c", None)]
+    df = spark.createDataFrame(rows, f"g string, v array<{kind}>").repartition(5)
+    qs = {"q0": 0.0, "q01": 0.01, "q50": 0.5, "q99": 0.99, "q1": 1.0}
+    got = {(o.g, o.dim): o for o in ranks.vector_quantiles(df, ["g"], "v", qs).collect()}
+    want = {}
+    for g, v in rows:
+        for d, c in enumerate(v or []):
+            if c is not None and c == c:
+                want.setdefault((g, d), []).append(np.float32(c) if kind == "float" else c)
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k].n == len(v)
+        at = np.array(list(qs.values())) * (len(v) - 1)
+        low, high = (np.sort(np.array(v, float))[f(at).astype(int)] for f in (np.floor, np.ceil))
+        share = at - np.floor(at)
+        with np.errstate(invalid="ignore"):  # between equal values there is no way
+            told = np.where((share > 0) & (high > low), low + (high - low) * share, low)
+        assert np.allclose([got[k][q] for q in qs], told, rtol=1e-12)
+    whole = ranks.vector_quantiles(df, [], "v", {"m": 0.5}).collect()
+    assert [o.dim for o in sorted(whole, key=lambda o: o.dim)] == [0, 1, 2, 3]
+    assert ranks.vector_quantiles(df.limit(0), ["g"], "v", qs).count() == 0
+
+
 def test_running_sums(spark):
     df = spark.createDataFrame([("a" if i % 3 else None, i, i % 5 if i % 7 else None) for i in range(300)], "k string, i int, n int")
     got = temporal.running(df, ["k"], ["i"], "n").collect()
