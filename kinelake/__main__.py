@@ -1,4 +1,4 @@
-"""Command line: ``python -m kinelake {catalog,scan,stats,inspect,batches} ...``."""
+"""Command line: ``python -m kinelake {catalog,scan,convert,stats,inspect,batches} ...``."""
 
 from __future__ import annotations
 
@@ -23,6 +23,8 @@ def parser() -> argparse.ArgumentParser:
     scan = sub.add_parser("scan")
     scan.add_argument("--rescan", action="store_true")
     scan.add_argument("--max-episodes", type=int)
+    convert = sub.add_parser("convert", help="write dumps as v2.1 repos; those that are there are left")
+    convert.add_argument("--out", required=True, help="folder of the repos")
     for name in ("stats", "inspect", "batches"):
         s = sub.add_parser(name)
         s.add_argument("--action-length", type=float, default=1.0)
@@ -45,7 +47,19 @@ def main(argv: list[str] | None = None) -> None:
         if not os.path.isdir(folder):
             print(json.dumps({"dataset": name, "missing": folder}))
             continue
-        spec = REGISTRY.get(name).spec
+        source = REGISTRY.get(name)
+        spec = source.spec
+        if a.what == "convert":
+            dest = os.path.join(a.out, name)
+            if not writers.ready(dest):
+                episodes = source.episodes(spark, folder) if source.episodes is not None else lerobot.scan(spark, folder, spec)
+                writers.convert(api.dataset(spark, name, a.root).complete().frames, episodes, dest, spec)
+            print(json.dumps({"dataset": name, "repo": dest}))
+            continue
+        if a.what == "scan" and source.episodes is not None:
+            n = source.episodes(spark, folder).selectExpr("count(*) as episodes", "sum(n_frames) as frames").first()
+            print(json.dumps({"dataset": name, **n.asDict()}))
+            continue
         if a.what == "scan":
             rows = writers.scanned(spark, folder, spec, lerobot.scan, os.path.join(folder, ".index"), a.max_episodes, a.rescan)
             n = rows.selectExpr("count(*) as episodes", "sum(n_frames) as frames").first()

@@ -344,20 +344,30 @@ def eef_chunk_udf(fmt: str, mode: str, invert: bool = False):
     """UDF (chunk, state pose) over array<array<double>>: poses relative to the state or to the step before, or back."""
 
     def run(chunk: pd.Series, state: pd.Series) -> pd.Series:
-        out = []
-        for c, s in zip(chunk, state):
-            if c is None or s is None:
-                out.append(None)
-                continue
-            ref, rows = np.array(s, float), []
-            for a in c:
-                a = np.array(list(a), float)
-                got = absolute_pose(a, ref, fmt) if invert else relative_pose(a, ref, fmt)
-                rows.append(got.tolist())
-                if mode == "delta":
-                    ref = got if invert else a
-            out.append(rows)
-        return pd.Series(out)
+        ok = np.flatnonzero(chunk.notna() & state.notna())
+        sizes = np.array([len(chunk.iloc[i]) for i in ok], np.int64)
+        out: list = [None] * len(chunk)
+        if not sizes.sum():
+            for i in ok:
+                out[i] = []
+            return pd.Series(out, dtype=object)
+        # all steps of all chunks in one stack; only what is added up goes step by step, over all chunks at once
+        steps, own = np.array([a for i in ok for a in chunk.iloc[i]], float), np.array([state.iloc[i] for i in ok], float)
+        begin = np.cumsum(sizes) - sizes
+        if mode == "delta" and invert:
+            got, ref = np.empty_like(steps), own
+            for t in range(int(sizes.max())):
+                on = np.flatnonzero(sizes > t)
+                ref[on] = got[begin[on] + t] = absolute_pose(steps[begin[on] + t], ref[on], fmt)
+        else:
+            ref = np.repeat(own, sizes, axis=0)
+            if mode == "delta":
+                inner = np.setdiff1d(np.arange(len(steps)), begin)
+                ref[inner] = steps[inner - 1]
+            got = (absolute_pose if invert else relative_pose)(steps, ref, fmt)
+        for i, a, n in zip(ok, begin, sizes):
+            out[i] = got[a : a + n].tolist()
+        return pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, "array<array<double>>")
 

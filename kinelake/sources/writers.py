@@ -81,6 +81,29 @@ def write_repo(frames: DataFrame, dest: str, spec: DumpSpec, version: str = "v2.
     })
 
 
+def convert(frames: DataFrame, episodes: DataFrame, dest: str, spec: DumpSpec) -> None:
+    """Any dump's frames (repo, episode_index, frame, state, action) as a v2.1 repo under ``dest``.
+
+    ``episodes`` (path or repo, maybe episode_index, lang) gives the texts;
+    episodes are numbered in order of repo and index, those without a text get
+    an empty one. A repo that is there is left as it is (``ready`` tells).
+    """
+    keys = ["repo", "episode_index"]
+    named = episodes.withColumnRenamed("path", "_path")
+    named = named if "repo" in named.columns else named.withColumn("repo", F.col("_path"))
+    by = [k for k in keys if k in named.columns]
+    told = named.groupBy(*by).agg(F.min("lang").alias("task"))
+    order = frames.select(*keys).distinct().withColumn("_one", F.lit(1).cast("long"))
+    numbers = sample_index(order, keys, "_one").select(*keys, F.col("start").alias("episode"))
+    rows = frames.join(numbers, keys).join(told, by, "left")
+    write_repo(rows.select("episode", "frame", "state", "action", F.coalesce("task", F.lit("")).alias("task")), dest, spec)
+
+
+def ready(dest: str) -> bool:
+    """Whether a conversion to ``dest`` is finished: its info comes last."""
+    return os.path.exists(os.path.join(dest, "meta", "info.json"))
+
+
 # episode index
 
 

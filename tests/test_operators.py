@@ -295,6 +295,25 @@ def test_vector_quantiles(spark, kind):
     assert ranks.vector_quantiles(df.limit(0), ["g"], "v", qs).count() == 0
 
 
+@pytest.mark.parametrize("mode", ["rel", "delta"])
+def test_chunks_of_poses_in_one_stack(spark, mode):
+    """Ragged, empty and null chunks; back again gives the chunk."""
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=(n, 6)).tolist() if n is not None else None, r.normal(size=6).tolist() if i != 4 else None) for i, n in enumerate([3, 1, 0, None, 2, 5])]
+    df = spark.createDataFrame(rows, "i int, c array<array<double>>, s array<double>").coalesce(1)
+    got = df.withColumn("r", geometry.eef_chunk_udf("xyz_rotvec", mode)("c", "s")).withColumn("b", geometry.eef_chunk_udf("xyz_rotvec", mode, True)("r", "s")).collect()
+    for x in got:
+        if x.c is None or x.s is None:
+            assert x.r is None
+            continue
+        ref = np.array(x.s)
+        for k, a in enumerate(x.c):
+            assert np.allclose(x.r[k], geometry.relative_pose(np.array(a), ref, "xyz_rotvec"))
+            assert np.allclose(geometry.relative_pose(np.array(x.b[k]), np.array(a), "xyz_rotvec"), 0, atol=1e-6)
+            ref = np.array(a) if mode == "delta" else ref
+        assert len(x.r) == len(x.c)
+
+
 def test_running_sums(spark):
     df = spark.createDataFrame([("a" if i % 3 else None, i, i % 5 if i % 7 else None) for i in range(300)], "k string, i int, n int")
     got = temporal.running(df, ["k"], ["i"], "n").collect()

@@ -159,3 +159,24 @@ def test_wire(spark):
     assert np.allclose([r.action for r in got], [[10, 0], [5, 5]], atol=1e-5)
     back = df.select(wire.from_wire(wire.to_wire("s")).alias("s")).collect()
     assert [r.s for r in back] == [[0.0, 10.0], [5.0, 5.0]]
+
+
+def test_answered_chunks(spark):
+    """Relative slices come back absolute, unscaled ones stay, the first steps are the prefix."""
+    from kinelake.spec import GRIP, chain
+
+    space = chain(("arm", 2, {"rep": "rel"}), ("gripper", 1, GRIP))
+    norm = {"state": ([0.0] * 3, [10.0] * 3), "action": ([-1.0] * 3, [1.0] * 3)}
+    prefix = [[[6.0, 5.0, 0.25], [7.0, 5.0, 0.5]]]
+    df = spark.createDataFrame([([5.0, 5.0, 0.5], prefix[0], 1)], "s array<double>, p array<array<double>>, n int")
+
+    def model(x, held, steps):
+        assert held.shape == (1, 3, 3) and steps.tolist() == [1] and abs(held[0, 0, 0] - 1) < 1e-5  # 6 - 5 is the top of the range
+        return np.stack([x * 0 + k / 4 for k in range(3)], 1)
+
+    got = np.array(wire.answered_chunks(df, model, "s", space, norm, 3, "p", "n").first().action)
+    assert np.allclose(got[0], prefix[0][0]) and np.allclose(got[1:, :2], [[5.25, 5.25], [5.5, 5.5]], atol=1e-4) and np.allclose(got[1:, 2], [0.25, 0.5], atol=1e-4)
+    plain = np.array(wire.answered_chunks(df, lambda x: np.zeros((len(x), 2, 3)), "s", space, norm, 2).first().action)
+    assert np.allclose(plain, [[5, 5, 0]] * 2, atol=1e-4)
+    masked = wire.answered(df.select("s"), lambda v: v, "s", [0.0] * 3, [10.0] * 3, [True, True, False]).first().action
+    assert np.allclose(masked, [5, 5, 0.5], atol=1e-5)
