@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.operators import batching, sampling, space, stats, temporal
+from kinelake.operators import batching, geometry, sampling, space, stats, temporal
 from kinelake.spec import REGISTRY, DumpSpec, dataset_path
 
 KEYS = ["repo", "episode_index"]
@@ -60,6 +60,7 @@ class Dataset:
         out = chunk.join(self.frames.select(*KEYS, "frame", "n", "state"), [*KEYS, "frame"])
         if c.action_mode != "abs":
             out = out.withColumn("action", space.to_train(F.col("action").cast("array<array<double>>"), F.col("state").cast("array<double>"), sp, dim))
+            out = geometry.eef_chunks(out, "action", "state", sp)
         if self.norm is not None:
             out = stats.normalize_vectors(out, self.norm, "state", "state", space.scaled(sp, self.spec.state_dim, "state"))
             # chunks are scaled cell by cell with the same ranges

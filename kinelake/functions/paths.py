@@ -51,5 +51,5 @@ def resolve_path(path: Column, dataset: Column | None = None, root: str = ROOT)
 
 
 def camera_key(video_key: Column) -> Column:
-    """A camera's name without ``observation.images.`` or ``image.``; blank is null."""
+    """A camera's name without ``observation.images.``, ``image.`` or ``images.``; blank is null."""
     return F.nullif(F.regexp_replace(F.trim(video_key), r"^(observation\.images\.|images?\.)", ""), F.lit(""))

@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.spec import POSE_WIDTHS, Space
@@ -246,6 +246,7 @@ GENIE_LEFT = SerialArm(
 GENIE_RIGHT = SerialArm(joints=(GENIE_LEFT.joints[0], (*GENIE_LEFT.joints[1][:2], (0.0, 0.0, -1.0)), *GENIE_LEFT.joints[2:]))
 
 Arm = ScrewArm | DhArm | SerialArm
+# The arms by embodiment and number of joints.
 ARMS: dict[tuple[str, int], dict[str, Arm]] = {
     ("aloha", 6): {"": VX300S},
     ("abc", 6): {"": YAM},
@@ -372,6 +373,26 @@ def eef_chunk_udf(fmt: str, mode: str, invert: bool = False):
     return F.pandas_udf(run, "array<array<double>>")
 
 
+def eef_chunks(rows: DataFrame, chunk: str, state: str, space, invert: bool = False) -> DataFrame:
+    """Chunks (array<array<double>>) with the poses of a space's convertible end effectors relative to the state or the step before, or back."""
+    for s in space:
+        a, b = s.state_span
+        if not s.convertible or s.kind != "eef" or s.format not in ROTATION or b - a != s.width:
+            continue
+        poses = F.transform(chunk, _between(s.start, s.end))
+        part = eef_chunk_udf(s.format, s.rep, invert)(poses, F.slice(F.col(state).cast("array<double>"), a + 1, s.width))
+        rows = rows.withColumn("_poses", part).withColumn(chunk, F.zip_with(chunk, "_poses", _spliced(s.start, s.end))).drop("_poses")
+    return rows
+
+
+def _between(start: int, end: int):
+    return lambda v: F.slice(v, start + 1, end - start)
+
+
+def _spliced(start: int, end: int):
+    return lambda v, p: F.concat(F.slice(v, F.lit(1), F.lit(start)), p, F.slice(v, F.lit(end + 1), F.greatest(F.size(v) - end, F.lit(0))))
+
+
 def quat_matrix_columns(q: Column) -> Column:
     """Nine cells, row by row, of an (x, y, z, w) column, in the JVM."""
     n = F.sqrt(F.aggregate(q, F.lit(0.0), lambda s, x: s + x * x))

@@ -13,8 +13,9 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Ids of embodiments; the last is the id of all others.
+# Ids of embodiments; the first is the id of all others.
 EMBODIMENT_IDS = {
+    "new_embodiment": 31,
     "aloha": 7,
     "ur5": 8,
     "arx5": 9,
@@ -31,7 +32,6 @@ EMBODIMENT_IDS = {
     "gr1": 24,
     "franka": 25,
     "agibot_genie1": 26,
-    "new_embodiment": 31,
 }
 UNKNOWN_EMBODIMENT = 31
 EMBODIMENTS = 32
@@ -41,8 +41,8 @@ REPS = {"abs": "abs", "absolute": "abs", "rel": "rel", "relative": "rel", "delta
 KINDS = {"joint": "joint", "eef": "eef", "ee": "eef", "gripper": "gripper", "grip": "gripper"}
 NORMS = {"quantile": "quantile", "q01": "quantile", "mean_std": "mean_std", "meanstd": "mean_std", "none": "none", "off": "none", "identity": "none"}
 FORMATS = {
-    "": "default",
     "default": "default",
+    "": "default",
     "xyz_rotvec": "xyz_rotvec",
     "xyz+rotvec": "xyz_rotvec",
     "rotvec": "xyz_rotvec",
@@ -266,6 +266,7 @@ SPECS = (
     DumpSpec("robotwin", WRISTS, 14, 14, 30.0, "aloha", kind="lerobot", space=two_arms()),
 )
 
+# Names that stand for all dumps.
 ALL_ALIASES = ("all", "all_custom", "all_data", "custom_all")
 
 

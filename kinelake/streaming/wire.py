@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.operators.flow import with_prefix
+from kinelake.operators.geometry import eef_chunks
 from kinelake.operators.space import from_train, scaled, to_train
 from kinelake.operators.stats import EPS
 
@@ -115,7 +116,9 @@ def answered_chunks(requests: DataFrame, model: Callable[..., np.ndarray], state
     none = F.lit(None)
     # a prefix is told in the training space, as the model sees it
     told = to_train(F.col(prefix), F.col(state), space, dim) if prefix is not None else none.cast("array<array<double>>")
+    requests = eef_chunks(requests.withColumn("_told", told), "_told", state, space)
     count = F.col(steps).cast("int") if steps is not None else none.cast("int")
-    raw = F.pandas_udf(run, "array<array<double>>")(state, told, count)
-    out = requests.withColumn("_y", raw).withColumn("action", from_train(F.col("_y"), F.col(state), space, dim)).drop("_y")
+    raw = F.pandas_udf(run, "array<array<double>>")(state, F.col("_told"), count)
+    out = requests.withColumn("_y", raw).withColumn("action", from_train(F.col("_y"), F.col(state), space, dim)).drop("_y", "_told")
+    out = eef_chunks(out, "action", state, space, invert=True)
     return out.withColumn("action", with_prefix(F.col("action"), F.col(prefix), count)) if prefix is not None else out

@@ -314,6 +314,32 @@ def test_chunks_of_poses_in_one_stack(spark, mode):
         assert len(x.r) == len(x.c)
 
 
+def test_poses_of_a_space(spark):
+    """End effectors of a space are converted, its grippers stay; back again gives the chunk."""
+    from kinelake.spec import two_poses
+
+    space = two_poses(format="xyz_quat")
+    r = np.random.default_rng(1)
+    pose = lambda: np.concatenate([np.r_[r.normal(size=3), (q := r.normal(size=4)) / np.linalg.norm(q) * np.sign(q[3]), r.random()] for _ in "lr"])
+    chunk, state = [pose() for _ in range(3)], pose()
+    df = spark.createDataFrame([([c.tolist() for c in chunk], state.tolist())], "action array<array<double>>, state array<double>")
+    for rep in ("rel", "delta"):
+        from dataclasses import replace
+
+        sp = tuple(replace(s, rep=rep) if s.kind == "eef" else s for s in space)
+        told = geometry.eef_chunks(df, "action", "state", sp)
+        got = np.array(told.first().action)
+        arm = next(s for s in sp if s.kind == "eef")
+        at = slice(arm.start, arm.end)
+        for k in range(3):
+            ref = state if rep == "rel" or k == 0 else chunk[k - 1]
+            assert np.allclose(got[k][at], geometry.relative_pose(chunk[k][at], ref[at], "xyz_quat"), atol=1e-9)
+        grips = [s.start for s in sp if s.kind == "gripper"]
+        assert np.allclose(got[:, grips], np.array(chunk)[:, grips])
+        back = np.array(geometry.eef_chunks(told, "action", "state", sp, invert=True).first().action)
+        assert np.allclose(np.abs(back), np.abs(chunk), atol=1e-6)
+
+
 def test_running_sums(spark):
     df = spark.createDataFrame([("a" if i % 3 else None, i, i % 5 if i % 7 else None) for i in range(300)], "k string, i int, n int")
     got = temporal.running(df, ["k"], ["i"], "n").collect()
