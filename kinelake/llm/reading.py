@@ -5,16 +5,18 @@ sentences. A multinomial logistic model with an L2 penalty over hashed character
 n-grams, words and word pairs gives each sentence a distribution over the
 levels; the sentences' distributions, weighted by their words, make the
 document's; a temperature, fitted on documents the sentence model had not seen,
-calibrates it, and the largest share is the level. Sentences of labelled documents start with
-the document's label and are told anew once by the model, as documents mix
-levels.
+calibrates it: it makes the probabilities honest and leaves the largest share,
+which is the level, the largest. Sentences of labelled documents start with the
+document's label and are told anew once by the model, as documents mix levels.
 
 The model is fitted on the driver from at most ``max_docs`` labelled documents
 with at most ``max_sentences`` of their sentences, both picked by hash; every
 document is then scored whole, in tasks.
 
 Defined results: null, empty and blank texts and those with fewer than
-``min_words`` words of prose have no row; a document is labelled by the median
+``min_words`` words of prose have no row; lines whose letters are half or more
+Chinese or Japanese are no prose here, as their words are not set apart and no
+rater has labelled any, so texts of such lines alone have no row; a document is labelled by the median
 of its raters (null opinions and repeated rows aside), halves go to the even
 level; without labels there are no rows; a document repeated under its id
 counts once.
@@ -171,8 +173,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def fit(index: np.ndarray, begin: np.ndarray, target: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None, l2: float = 2e-4, steps: int = 60, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of a multinomial logistic model by full-batch Adam, from ``start``; ``target`` rows are distributions."""
+def fit(index: np.ndarray, begin: np.ndarray, target: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None, l2: float = 1e-5, steps: int = 60, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a multinomial logistic model by full-batch Adam, from ``start``; ``target`` rows are distributions.
+
+    ``l2`` is held against the mean loss of a sentence.
+    """
     k = target.shape[1]
     n = np.diff(np.append(begin, len(index)))
     scale = (1 / np.sqrt(np.maximum(n, 1))).astype(np.float32)
@@ -182,7 +187,7 @@ def fit(index: np.ndarray, begin: np.ndarray, target: np.ndarray, start: tuple[n
         p = _softmax(_sums(w, index, begin) + b)
         g = (p - target) / len(target)
         flat = np.repeat((g * scale[:, None]).astype(np.float32).T, n, axis=1)
-        grad = np.stack([np.bincount(index, flat[j], HASH) for j in range(k)], 1).astype(np.float32) + np.float32(l2 / len(target)) * w
+        grad = np.stack([np.bincount(index, flat[j], HASH) for j in range(k)], 1).astype(np.float32) + np.float32(l2) * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         b -= rate * g.sum(0)
