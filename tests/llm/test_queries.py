@@ -2,12 +2,12 @@
 
 import pytest
 
+import tests.test_queries as core
 from kinelake.llm import queries
-from tests.test_queries import duck, test_sql_twin as held_against  # noqa: F401
 
-held_against.__test__ = False
+duck = core.duck
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
-def test_sql_twin_of_training_data(spark, sf, duck, name):  # noqa: F811
-    held_against(spark, sf, duck, name)
+def test_sql_twin_of_training_data(spark, sf, duck, name):
+    core.test_sql_twin(spark, sf, duck, name)
