@@ -56,7 +56,27 @@ def p5_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("bytes"), F.count_if(F.col("a") == F.col("b")).alias("same"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_layout": p5_layout, "p5_packed": p5_packed}
+def p2_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of p2_found that the embodiment cannot reach, which SQL can tell, too."""
+    specs = table(spark, sf_dir, "specs").select(F.col("name").alias("dataset_name"), "embodiment").distinct()
+    limits = specs.join(table(spark, sf_dir, "joint_limits"), "embodiment").select("dataset_name", "vector", "dim", F.col("lo").cast("float").alias("lo"), F.col("hi").cast("float").alias("hi")).distinct()
+    frames = table(spark, sf_dir, "frames").select("frame_id", "dataset_name", "state", "action")
+    cells = None
+    for v in ("state", "action"):
+        one = frames.select("frame_id", "dataset_name", F.lit(v).alias("vector"), F.posexplode(v).alias("dim", "value"))
+        cells = one if cells is None else cells.unionByName(one)
+    found = p2_found(spark, sf_dir).join(cells, ["frame_id", "vector", "dim"]).join(limits, ["dataset_name", "vector", "dim"])
+    return found.filter("not isnan(value) and (value < lo or value > hi)").select("frame_id", "vector", "dim").distinct()
+
+
+def p5_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that the layout holds by camera, and how many it holds more than once (none)."""
+    frames = p5_layout(spark, sf_dir).select(*archive.STREAM, F.explode(F.sequence("frame_from", "frame_to")).alias("frame"))
+    by = frames.groupBy(*archive.STREAM, "frame").agg(F.count(F.lit(1)).alias("n"))
+    return by.groupBy("camera").agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("n") > 1).alias("twice"))
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_layout": p5_layout, "p5_packed": p5_packed, "p2_outside": p2_outside, "p5_covered": p5_covered}
 
 def resolved_sql(path: str, dataset: str) -> str:
     """SQL of the place a path leads to; parent folders are taken back up to four times."""
@@ -71,6 +91,13 @@ def resolved_sql(path: str, dataset: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "p2_outside": """with s as (select distinct name, embodiment from specs), l as (select distinct s.name, j.vector, j.dim, cast(j.lo as float) as lo, cast(j.hi as float) as hi from s join joint_limits j on j.embodiment = s.embodiment),
+      c as (select frame_id, dataset_name, 'state' as vector, cast(unnest(generate_series(0, len(state) - 1)) as integer) as dim, unnest(state) as value from frames where state is not null and len(state) > 0 and frame_id is not null
+        union all select frame_id, dataset_name, 'action', cast(unnest(generate_series(0, len(action) - 1)) as integer), unnest(action) from frames where action is not null and len(action) > 0 and frame_id is not null)
+      select distinct c.frame_id, c.vector, c.dim from c join l on l.name = c.dataset_name and l.vector = c.vector and l.dim = c.dim where c.value is not null and not isnan(c.value) and (c.value < l.lo or c.value > l.hi)""",
+    "p5_covered": f"""with f as (select file_id, {resolved_sql("min(path)", "min(dataset_name)")} as p, min(trajectory_id) as t, regexp_replace(trim(min(video_key)), '^(observation[.]images[.]|images?[.])', '') as c, min(first_frame) as lo, min(first_frame) + min(num_frames) - 1 as hi
+      from cache_files group by file_id having min(num_frames) > 0), x as (select distinct p, t, c, unnest(generate_series(lo, hi)) as frame from f where p is not null and t is not null and c is not null and c <> '' and lo is not null)
+    select c as camera, count(*) as frames, cast(0 as bigint) as twice from x group by 1""",
     "p5_packed": "select source, count(*) as files, cast(sum(coalesce(octet_length(encode(text)), 0)) as bigint) as bytes, count(*) as same from documents group by source",
     "p5_found": f"""with f as (select file_id, {resolved_sql("min(path)", "min(dataset_name)")} as p, min(trajectory_id) as t, regexp_replace(trim(min(video_key)), '^(observation[.]images[.]|images?[.])', '') as c, min(first_frame) as lo, min(first_frame) + min(num_frames) - 1 as hi
       from cache_files group by file_id having min(num_frames) > 0)
