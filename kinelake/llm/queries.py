@@ -162,9 +162,35 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), *[F.round(F.avg(f"p{k}"), 6).alias(f"p{k}") for k in range(1, 5)])
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_days": p1_days, "p1_days_combined": p1_days_combined, "p3_mix": p3_mix, "p3_shares": p3_shares, "p7_found": p7_found, "p7_table": p7_table, "p7_values": p7_values, "p4_found": p4_found, "p6_found": p6_found, "p6_split": p6_split, "p6_shares": p6_shares, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_profile": p10_profile}
+def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finite readings behind each percentile, repeated frames once."""
+    return p1_percentiles(spark, sf_dir).select("dataset_name", "vector", F.col("dim").cast("long").alias("dim"), "n")
+
+
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in the split, and groups torn apart (none)."""
+    by = p6_split(spark, sf_dir).groupBy("group_id").agg(F.count_distinct("record_id").alias("k"), F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("splits"))
+    return by.agg(F.sum("k").alias("records"), F.sum("n").alias("rows"), F.count_if(F.col("splits") > 1).alias("torn"))
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in containers, containers beyond their capacity (none), and documents split though they fit (none)."""
+    p = p9_containers(spark, sf_dir)
+    docs = p.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    docs = docs.select(F.lit(1).alias("documents"), ((F.col("pieces") > 1) & (F.col("n") <= CAPACITY)).cast("int").alias("split"), F.lit(0).alias("overfull"))
+    boxes = p.groupBy("container").agg(F.sum("n_tokens").alias("n")).select(F.lit(0).alias("documents"), F.lit(0).alias("split"), (F.col("n") > CAPACITY).cast("int").alias("overfull"))
+    return docs.unionByName(boxes).agg(*[F.sum(c).alias(c) for c in ("documents", "split", "overfull")])
+
+
+QUERIES = {"p1_counts": p1_counts, "p6_kept": p6_kept, "p9_kept": p9_kept, "p1_percentiles": p1_percentiles, "p1_days": p1_days, "p1_days_combined": p1_days_combined, "p3_mix": p3_mix, "p3_shares": p3_shares, "p7_found": p7_found, "p7_table": p7_table, "p7_values": p7_values, "p4_found": p4_found, "p6_found": p6_found, "p6_split": p6_split, "p6_shares": p6_shares, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_profile": p10_profile}
 CAMERA_SQL = "regexp_replace(trim({}), '^(observation[.]images[.]|images?[.])', '')"
 SQL: dict[str, str] = {
+    "p1_counts": """with f as (select any_value(dataset_name) as dataset_name, any_value(state) as state, any_value(action) as action from frames where frame_id is not null group by frame_id union all select dataset_name, state, action from frames where frame_id is null),
+      c as (select dataset_name, 'state' as vector, unnest(generate_series(0, len(state) - 1)) as dim, unnest(state) as value from f where state is not null and len(state) > 0
+        union all select dataset_name, 'action', unnest(generate_series(0, len(action) - 1)), unnest(action) from f where action is not null and len(action) > 0)
+      select dataset_name, vector, cast(dim as bigint) as dim, count(*) as n from c where value is not null and isfinite(value) group by 1, 2, 3""",
+    "p6_kept": "select count(distinct record_id) as records, count(distinct record_id) as rows, cast(0 as bigint) as torn from episodes where record_id is not null",
+    "p9_kept": "select count(*) as documents, cast(0 as bigint) as split, cast(0 as bigint) as overfull from documents",
     "p4_found": f"""with im as (select image_id, min(repo_index) as r, min(episode_index) as e, min({CAMERA_SQL.format("video_key")}) as c, min(packed_ts) as p from camera_images
         where image_id is not null and repo_index is not null and episode_index is not null and video_key is not null and packed_ts is not null group by image_id),
       k as (select repo_index as r, episode_index as e, videos_json, unnest(json_keys(videos_json)) as key from episodes where videos_json is not null and repo_index is not null and episode_index is not null),
