@@ -1,7 +1,7 @@
 """Pixels as numpy arrays: scaling into a square, ImageNet scale, and columns of raw bytes.
 
 Codecs are hooks (:mod:`kinelake.sources.formats`); these functions start from
-height x width x 3 bytes. Scaling takes the nearest pixel.
+height x width x 3 bytes.
 """
 
 from __future__ import annotations
@@ -15,10 +15,21 @@ MEAN = np.array([0.485, 0.456, 0.406], np.float32)
 STD = np.array([0.229, 0.224, 0.225], np.float32)
 
 
+def _places(new: int, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two pixels between which the middle of each new pixel lies, and the share of the second."""
+    at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
+    first = np.minimum(at.astype(int), max(old - 2, 0))
+    return first, np.minimum(first + 1, old - 1), (at - first).astype(np.float32)
+
+
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    rows = np.minimum((np.arange(height) + 0.5) * image.shape[0] / height, image.shape[0] - 1).astype(int)
-    cols = np.minimum((np.arange(width) + 0.5) * image.shape[1] / width, image.shape[1] - 1).astype(int)
-    return image[rows][:, cols]
+    """Bilinear between the middles of pixels; whole numbers are rounded."""
+    up, down, v = _places(height, image.shape[0])
+    left, right, u = _places(width, image.shape[1])
+    v, u = v[:, None, None], u[None, :, None]
+    rows = image[up].astype(np.float32) * (1 - v) + image[down].astype(np.float32) * v
+    out = rows[:, left] * (1 - u) + rows[:, right] * u
+    return np.rint(out).astype(image.dtype) if np.issubdtype(image.dtype, np.integer) else out.astype(image.dtype)
 
 
 def letterbox_size(height: int, width: int, size: int) -> tuple[int, int, int, int]:

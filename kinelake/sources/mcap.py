@@ -1,8 +1,8 @@
 """MCAP recordings: spans from message indexes, messages with protobuf or JSON payloads.
 
 Only what the readers need of the format is read: the summary's channels,
-schemas and chunk indexes, the message indexes of a channel's outermost chunks
-for its span, and whole chunks for messages. Chunks are plain or zstd; other
+schemas and chunk indexes, message indexes for a topic's span, and whole chunks
+for messages. Chunks are plain or zstd; other
 compressions need a library of their own.
 """
 
@@ -113,28 +113,46 @@ class Recording:
         return {n: c[0] for n, c in self.channels.items() if c[0] in wanted}
 
     def spans(self, wanted: Iterable[str]) -> dict[str, tuple[int, int]]:
-        """First and last log time of each topic, from the message indexes of its outermost chunks."""
+        """First and last log time of each topic, from message indexes.
+
+        A topic's chunks are looked at in order of their own first (last) time
+        until one begins after (ends before) what was found: exact whatever the
+        order of the messages, and no more than a few chunks of an ordered file.
+        """
         names = self.topics(wanted)
+        read: dict[int, dict[int, tuple[int, int]]] = {}
         out: dict[str, tuple[int, int]] = {}
-        picked: dict[int, dict] = {}
-        for n in names:
-            mine = [c for c in self.chunks if n in c["indexes"]]
-            if mine:
-                # messages are written about in order of time: the chunks that begin first and last, and the one that ends last
-                for c in (min(mine, key=lambda c: c["first"]), max(mine, key=lambda c: c["first"]), max(mine, key=lambda c: c["last"])):
-                    picked[c["at"]] = c
         with open(self.path, "rb") as file:
-            for c in picked.values():
-                file.seek(min(c["indexes"].values()))
-                for kind, raw in records(file.read(c["index_size"])):
-                    if kind != MESSAGE_INDEX:
-                        continue
-                    cur = Cursor(raw)
-                    n = cur.number("H")
-                    times = [t for t, _ in cur.pairs("Q", "Q")] if n in names else []
-                    if times:
-                        lo, hi = out.get(names[n], (times[0], times[0]))
-                        out[names[n]] = (min(lo, *times), max(hi, *times))
+
+            def within(chunk: dict) -> dict[int, tuple[int, int]]:
+                if chunk["at"] not in read:
+                    file.seek(min(chunk["indexes"].values()))
+                    found: dict[int, tuple[int, int]] = {}
+                    for kind, raw in records(file.read(chunk["index_size"])):
+                        if kind == MESSAGE_INDEX:
+                            cur = Cursor(raw)
+                            channel = cur.number("H")
+                            times = [t for t, _ in cur.pairs("Q", "Q")] if channel in names else []
+                            if times:
+                                found[channel] = (min(times), max(times))
+                    read[chunk["at"]] = found
+                return read[chunk["at"]]
+
+            for n, topic in names.items():
+                mine = [c for c in self.chunks if n in c["indexes"]]
+                first = last = None
+                for c in sorted(mine, key=lambda c: c["first"]):
+                    if first is not None and c["first"] > first:
+                        break
+                    if n in within(c):
+                        first = within(c)[n][0] if first is None else min(first, within(c)[n][0])
+                for c in sorted(mine, key=lambda c: -c["last"]):
+                    if last is not None and c["last"] < last:
+                        break
+                    if n in within(c):
+                        last = within(c)[n][1] if last is None else max(last, within(c)[n][1])
+                if first is not None and last is not None:
+                    out[topic] = (first, last)
         return out
 
     def messages(self, wanted: Iterable[str]) -> Iterator[tuple[str, int, dict]]:

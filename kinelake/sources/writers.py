@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinelake.operators.joins import intern
 from kinelake.operators.temporal import sample_index
-from kinelake.sources.lerobot import DATA_V2
+from kinelake.sources.lerobot import DATA_V2, existing
 from kinelake.spec import DumpSpec
 
 CHUNK = 1000
@@ -136,6 +136,10 @@ def load_index(spark: SparkSession, path: str, spec: DumpSpec, root: str) -> Dat
     rows = spark.read.parquet(os.path.join(path, "episodes")).join(spark.read.parquet(os.path.join(path, "repos")), "repo_index").drop("repo_index")
     if rows.count() != told["n_records"]:
         raise ValueError(f"{path}: other records than the manifest tells")
+    ends = rows.agg(F.min("path"), F.max("path")).first()
+    gone = sorted(set(ends) - set(existing(spark, list(set(ends)))))
+    if gone:
+        raise ValueError(f"{path}: {gone[0]} is gone since the scan")
     return rows
 
 
