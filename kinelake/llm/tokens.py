@@ -21,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZERS = os.environ.get("KINELAKE_TOKENIZERS", "/opt/tokenizers")
@@ -128,6 +129,18 @@ def vocabulary(name: str = "byte_bpe_50k", root: str = TOKENIZERS) -> str:
     return os.path.join(root, f"{name}.tiktoken")
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Send the vocabulary to the executors, which may not have its folder; the name by which tasks find it."""
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
+    return path
+
+
+def on_worker(path: str) -> str:
+    sent = SparkFiles.get(os.path.basename(path))
+    return path if os.path.exists(path) or not os.path.exists(sent) else sent
+
+
 def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes of text, or one row."""
     size = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64))
@@ -140,10 +153,10 @@ def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
 
 def encode(documents: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids) of every row; other columns are left out."""
-    path = path or vocabulary()
+    path = shipped(documents.sparkSession, path or vocabulary())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(on_worker(path))
         for batch in batches:
             keys, texts = batch.columns
             for a, b in _slices(texts):
@@ -157,10 +170,10 @@ def encode(documents: DataFrame, path: str | None = None, text: str = "text", ke
 
 def count(documents: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_tokens) of every row."""
-    path = path or vocabulary()
+    path = shipped(documents.sparkSession, path or vocabulary())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(on_worker(path))
         for batch in batches:
             keys, texts = batch.columns
             for a, b in _slices(texts):
