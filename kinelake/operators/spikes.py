@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.functions.vectors import matrix
+from kinelake.session import cut
 
 VECTORS = ("state", "action")
 ZERO_BIN = -32768
@@ -280,10 +281,10 @@ Bounds = dict[tuple[str | None, str], tuple[np.ndarray, np.ndarray]]
 HISTOGRAM = "dataset_name string, vector string, part int, code array<bigint>, n array<bigint>"
 
 
-def detail_histogram(frames: DataFrame, bounds: Bounds, rule: SpikeRule, salts: int = 256) -> DataFrame:
+def detail_histogram(placed: DataFrame, bounds: Bounds, rule: SpikeRule, salts: int = 256) -> DataFrame:
     """(dataset_name, vector, code, n): numbers of details by dimension with its kind and log bin, a row per source and vector.
 
-    ``code`` is ``(kind * KIND + dim) * 65536 + bin + 32768``. A task adds up its
+    ``placed``: frames as :func:`blocks` puts them. ``code`` is ``(kind * KIND + dim) * 65536 + bin + 32768``. A task adds up its
     own rows; where tasks are many, their histograms are added by salt first.
     """
 
@@ -308,8 +309,8 @@ def detail_histogram(frames: DataFrame, bounds: Bounds, rule: SpikeRule, salts:
         code, n = _added(list(zip(pdf["code"], pdf["n"])))
         return pd.DataFrame({"dataset_name": pdf["dataset_name"].iloc[:1], "vector": pdf["vector"].iloc[:1], "part": pdf["part"].iloc[:1], "code": [code], "n": [n]})
 
-    partial = blocks(frames, rule).mapInArrow(count, HISTOGRAM)
-    if int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 2 * salts:
+    partial = placed.mapInArrow(count, HISTOGRAM)
+    if int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 2 * salts:
         partial = partial.groupBy("dataset_name", "vector", "part").applyInPandas(merged, HISTOGRAM)
     return partial.groupBy("dataset_name", "vector").applyInPandas(merged, HISTOGRAM).drop("part")
 
@@ -424,7 +425,8 @@ def find_spikes(frames: DataFrame, bounds: Bounds, held: dict[tuple[str | None,
     numbers per dimension of each source.
     """
     held = held or {}
-    by_source = source_scales(detail_histogram(frames, bounds, rule), rule)
+    placed = cut(blocks(frames, rule))  # exchanged once, read twice: for the scales and to be judged
+    by_source = source_scales(detail_histogram(placed, bounds, rule), rule)
     for key, dims in held.items():
         for dim in dims:
             if key in by_source and dim < len(by_source[key]["trace"]):
@@ -455,4 +457,4 @@ def find_spikes(frames: DataFrame, bounds: Bounds, held: dict[tuple[str | None,
                 if len(at):
                     yield pa.record_batch([pa.array(frame[at], pa.int64()), pa.array([vector] * len(at)), pa.array(dim.astype(np.int32))], ["frame_id", "vector", "dim"])
 
-    return blocks(frames, rule).mapInArrow(flag, "frame_id long, vector string, dim int")
+    return placed.mapInArrow(flag, "frame_id long, vector string, dim int")

@@ -508,6 +508,16 @@ def test_one_arm():
     assert [s.name for s in one_arm()] == ["arm", "gripper"]
 
 
+def test_resize_is_bilinear():
+    from kinelake.functions import images
+
+    ramp = np.repeat(np.arange(0, 200, 10, dtype=np.uint8)[None, :, None], 12, 0).repeat(3, 2)
+    big = images.resize(ramp, 24, 40).astype(int)
+    assert big.shape == (24, 40, 3) and (np.diff(big[0, :, 0]) >= 0).all() and set(np.diff(big[0, 1:-1, 0])) <= {4, 5, 6}
+    assert np.array_equal(images.resize(ramp, 12, 20), ramp) and (images.resize(ramp[:1, :1], 5, 7) == ramp[0, 0]).all()
+    assert np.isclose(images.resize(ramp.astype(np.float32), 12, 10)[0, 3, 0], 65)
+
+
 def test_images():
     from kinelake.functions import images
 

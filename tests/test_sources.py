@@ -38,6 +38,16 @@ def test_repo_round_trip(spark, tmp_path):
     assert [(r.episode_index, r.n_frames, r.lang) for r in again] == [(0, 5, "task 0"), (1, 3, "task 0"), (2, 7, "task 0")]
 
 
+def test_index_of_a_moved_dump(spark, tmp_path):
+    root, index = tmp_path / "lake", str(tmp_path / "index")
+    writers.write_repo(frames(spark), str(root / "r"), SPEC)
+    writers.save_index(lerobot.scan(spark, str(root)), index, SPEC, str(root))
+    assert writers.load_index(spark, index, SPEC, str(root)).count() == 3
+    os.unlink(root / "r" / "data/chunk-000/episode_000002.parquet")
+    with pytest.raises(ValueError, match="gone since the scan"):
+        writers.load_index(spark, index, SPEC, str(root))
+
+
 def test_only_wanted_files_are_read(spark, tmp_path):
     """Other episodes' files may be broken; lengths that are told are not counted."""
     root = tmp_path / "r"
