@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinelake.session import cut
+from kinelake.session import cut, discard, written
 
 CAMERA_TYPES = ("video", "image")
 NEST = 0.7  # weight of namespaces
@@ -340,13 +340,15 @@ def field_names(files: DataFrame, found: DataFrame) -> DataFrame:
     start = lives.filter("begins and old_name is not null").select("repo_index", "key", "life", F.col("old_name").alias("okey"))
     ends = lives.groupBy("repo_index", F.col("key").alias("okey"), F.col("life").alias("olife")).agg(F.max(F.struct("at", "file_id")).alias("until"))
     parent = start.join(ends, ["repo_index", "okey"]).filter("until < life").groupBy("repo_index", "key", "life").agg(F.max(F.struct("until", "okey", "olife")).alias("p"))
-    jump = cut(parent.select("repo_index", "key", "life", F.col("p.okey").alias("okey"), F.col("p.olife").alias("olife")))
+    held = written(parent.select("repo_index", "key", "life", F.col("p.okey").alias("okey"), F.col("p.olife").alias("olife")))
+    jump = held
     while True:
         up = jump.select("repo_index", F.col("key").alias("okey"), F.col("life").alias("olife"), F.col("okey").alias("k2"), F.col("olife").alias("l2"))
-        step = cut(jump.join(up, ["repo_index", "okey", "olife"], "left"))
-        moved = step.filter("k2 is not null")
+        step = written(jump.join(up, ["repo_index", "okey", "olife"], "left"))
+        discard(held)
+        held = step
         jump = step.select("repo_index", "key", "life", F.coalesce("k2", "okey").alias("okey"), F.coalesce("l2", "olife").alias("olife"))
-        if moved.isEmpty():
+        if step.filter("k2 is not null").isEmpty():
             break
     return lives.join(jump, ["repo_index", "key", "life"], "left").select("repo_index", "file_id", "key", F.coalesce("okey", "key").alias("column"))
 
