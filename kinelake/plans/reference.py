@@ -487,15 +487,19 @@ def pose_relative(spark, d):
     return got.select("vec_id", r6(F.get("p", F.lit(0))).alias("x"), r6(F.get("p", F.lit(1))).alias("y"), r6(F.get("p", F.lit(5))).alias("turn"))
 
 
-@query()
+@query(f"""with {VECTORS}, u as (select vec_id, v[1] as x, v[2] as y, v[3] as z, v[4] as a, v[5] as b, v[6] as c, greatest(sqrt(v[4]^2 + v[5]^2 + v[6]^2), 1e-12) as t from vectors),
+  h as (select *, case when cos(t / 2) < 0 then -1 else 1 end as f, sin(t / 2) / t as s, 1 - cos(t) as o, sin(t) as n, cos(t) as m, a / t as i, b / t as j, c / t as k from u),
+  p as (select vec_id, 'xyz_quat' as format, [x, y, z, f * s * a, f * s * b, f * s * c, f * cos(t / 2)] as p from h
+    union all select vec_id, 'xyz_rot6d', [x, y, z, m + i * i * o, i * j * o - k * n, i * k * o + j * n, j * i * o + k * n, m + j * j * o, j * k * o - i * n] from h)
+  select vec_id, format, cast(unnest(generate_series(0, len(p) - 1)) as integer) as dim, round(unnest(p), 6) as value from p""")
 def pose_formats(spark, d):
-    """Each vector's pose in the three formats, one row per format and dim."""
+    """Each vector's pose as quaternion and as two rows of its rotation, one row per format and dim."""
     v = vectors(spark, d).select("vec_id", F.slice("v", 1, 6).alias("p"))
     out = None
     for fmt in ("xyz_quat", "xyz_rot6d"):
         part = v.select("vec_id", F.lit(fmt).alias("format"), F.posexplode(geometry.pose_udf("convert", "xyz_rotvec", fmt)("p")).alias("dim", "value"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumn("value", r6("value"))
 
 
 @query()
